@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import format_duplicates, quantiles, seen
+from pagequarry.llm import format_duplicates, leakage, quantiles, seen, shared_spans
 from pagequarry.session import staged, table
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.95, 0.99]
@@ -68,7 +68,32 @@ def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     return exact.select(*_BY, "n", "p", kept.alias("within_bound"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: in how many documents, and the largest share of it found in one."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("containment"), 6).alias("most"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_shares(staged(_spans(spark, d), "spans"), table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds, p8_found, p8_items, p10_found, p10_shares)}
 
 _COPIES = r"""
 WITH pages AS (SELECT DISTINCT id, crawl_id, title, meta_description, h1 FROM crawled_urls),
