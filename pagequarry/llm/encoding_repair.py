@@ -56,11 +56,14 @@ SWAPS = [
 ]
 #: The same where the right encoding takes several bytes a character.
 WIDE_SWAPS = [(right, wrong) for right in ("cp932", "euc_jp", "gb18030") for wrong in ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")]
-STEP_COST, SWAP_COST, MOST_STEPS = 2, 4, 3
-SAMPLE_TEXTS, DICTIONARY_BYTES, LEVEL = 4000, 65536, 12
+#: Bytes a step adds to the description; what a letter adds that the language hasn't.
+STEP_COST, WIDE_COST, SWAP_COST, STRANGE_COST, MOST_STEPS = 0.5, 1.5, 5, 1.5, 3
+SAMPLE_TEXTS, DICTIONARY_BYTES, LEVEL = 4000, 32768, 12
 
 _LOST = "�"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
+_SIGN_WITHIN = re.compile(r"[^\W\d_][„…•·«»‹›€£¥§©®°±²³¼½¾×÷№™¡¿][^\W\d_]")
 
 
 def _page(encoding: str) -> list[str]:
@@ -77,16 +80,20 @@ def _page(encoding: str) -> list[str]:
 class _Narrow:
     """Undoes UTF-8 read as an encoding of one byte a character, wherever the bytes are valid UTF-8."""
 
-    cost = STEP_COST
+    cost, local = STEP_COST, True
 
     def __init__(self, encoding: str):
         self.name = f"utf-8 as {encoding}"
         page = _page(encoding)
         self.byte = {c: b for b, c in reversed(list(enumerate(page))) if b > 127}
+        self.lead, self.tails = set(page[0xC2:0xF5]), set(page[0x80:0xC0])
         one = lambda a, b: "[" + "".join(re.escape(page[i]) for i in range(a, b + 1)) + "]"
         tail = one(0x80, 0xBF)
         self.find = re.compile(f"(?:{one(0xC2, 0xDF)}{tail}|{one(0xE0, 0xEF)}{tail}{tail}|{one(0xF0, 0xF4)}{tail}{tail}{tail})+")
 
+    def may(self, chars: frozenset[str], good: set[str]) -> bool:
+        return not chars.isdisjoint(self.lead) and not chars.isdisjoint(self.tails)
+
     def _right(self, m: re.Match) -> str:
         try:
             return bytes(self.byte[c] for c in m.group()).decode("utf-8")
@@ -100,11 +107,14 @@ class _Narrow:
 class _Wide:
     """The same for encodings of several bytes a character; a run may have swallowed ASCII characters or lost its end."""
 
-    cost = STEP_COST + 1
+    cost, local = WIDE_COST, True
 
     def __init__(self, encoding: str):
         self.name, self.encoding = f"utf-8 as {encoding}", encoding
 
+    def may(self, chars: frozenset[str], good: set[str]) -> bool:
+        return any(c > "\u2e7f" for c in chars)
+
     def _right(self, m: re.Match) -> str:
         try:
             return m.group().encode(self.encoding).decode("utf-8")
@@ -115,10 +125,28 @@ class _Wide:
         return _NON_ASCII.sub(self._right, text)
 
 
+class _Stripped:
+    """UTF-8 read as Latin-1 whose control characters somebody removed: what is left of a sign, and the sign it most likely was."""
+
+    cost, local = WIDE_COST, True
+
+    def __init__(self, capital: str):
+        self.name, self.first = f"utf-8 as latin-1 without controls ({capital})", capital == "É"
+        self.rules = [(re.compile(a), b) for a, b in (("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"), (r"(?<!\w)â(?=\w)", "“"), (r"(?<=\w)â(?!\w)", "”"), ("Ã(?![\u0080-\u00bf])", capital))]
+
+    def may(self, chars: frozenset[str], good: set[str]) -> bool:
+        return "Ã" in chars or (self.first and "â" in chars)
+
+    def undo(self, text: str) -> str:
+        for find, sign in self.rules:
+            text = find.sub(sign, text)
+        return text
+
+
 class _Swap:
     """Undoes one encoding of one byte a character read as another, over the whole text."""
 
-    cost = SWAP_COST
+    cost, local = SWAP_COST, False
 
     def __init__(self, right: str, wrong: str):
         self.name = f"{right} as {wrong}"
@@ -126,17 +154,26 @@ class _Swap:
         self.map = {bad[b]: good[b] for b in range(255, 127, -1)}
         self.table = str.maketrans(self.map)
 
+    def may(self, chars: frozenset[str], good: set[str]) -> bool:
+        new = [self.map.get(c) for c in chars]
+        return all(n in good for n in new) and any(n != c for n, c in zip(new, chars, strict=True))
+
     def undo(self, text: str) -> str:
-        return text.translate(self.table) if all(c in self.map for run in _NON_ASCII.findall(text) for c in run) else text
+        return text.translate(self.table)
 
 
 class _WideSwap:
-    cost = SWAP_COST
+    """Undoes an encoding of several bytes a character read as one of one byte."""
+
+    cost, local = SWAP_COST, False
 
     def __init__(self, right: str, wrong: str):
         self.name, self.right = f"{right} as {wrong}", right
         self.byte = {c: b for b, c in reversed(list(enumerate(_page(wrong))))}
 
+    def may(self, chars: frozenset[str], good: set[str]) -> bool:
+        return len(chars) > 1 and all(c in self.byte for c in chars)
+
     def undo(self, text: str) -> str:
         try:
             return bytes(self.byte[c] for c in text).decode(self.right)
@@ -183,35 +220,66 @@ class Repairer:
         for lang, raw in model.dictionaries.items():
             kind = zstandard.DICT_TYPE_AUTO if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
             d = zstandard.ZstdCompressionDict(raw, dict_type=kind)
-            self.press[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(level=LEVEL)
+            self.press[lang] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.steps = [_Narrow(e) for e in READERS] + [_Wide(e) for e in WIDE_READERS] + [_Swap(*x) for x in SWAPS] + [_WideSwap(*x) for x in WIDE_SWAPS]
-        self.sure = self.steps[: len(READERS) + len(WIDE_READERS)]
+        self.steps = [_Narrow(e) for e in READERS] + [_Wide(e) for e in WIDE_READERS] + [_Stripped(c) for c in "ÉÀÁÚÓÖÜÄÑÇß"] + [_Swap(*x) for x in SWAPS] + [_WideSwap(*x) for x in WIDE_SWAPS]
+        outside = lambda known: re.compile("[^\\x00-\\x7f" + re.escape("".join(sorted(known))) + "]")
+        self.beyond = {lang: outside(self.signs | own) for lang, own in self.letters.items()}
+        self.unknown = outside(self.good)
+        self.possible: dict[frozenset[str], list] = {}
+        self.spoken: dict[frozenset[str], set[str]] = {}
         self.known: dict[str, Verdict] = {}
 
-    def languages(self, text: str) -> list[str]:
-        """Those whose letters cover most of the text's; all of them for a text without a letter beyond ASCII."""
-        others = [c for run in _NON_ASCII.findall(text) for c in run if c not in self.signs]
-        score = {lang: sum(c in own for c in others) for lang, own in self.letters.items()}
-        best = max(score.values(), default=0)
-        return [lang for lang, s in score.items() if s == best]
+    def _chars(self, text: str) -> frozenset[str]:
+        return frozenset("".join(_NON_ASCII.findall(text)))
+
+    def applicable(self, text: str) -> list:
+        """The steps that could change a text with these characters."""
+        chars = self._chars(text)
+        steps = self.possible.get(chars)
+        if steps is None:
+            if len(self.possible) > 100_000:
+                self.possible.clear()
+            steps = self.possible[chars] = [s for s in self.steps if s.may(chars, self.good)]
+        return steps
+
+    def whole_swap(self, text: str) -> bool:
+        """Whether all of a text may be misread: no one language has its letters, a sign stands between letters, or it is Cyrillic, which every such reading leaves Cyrillic."""
+        return bool(_CYRILLIC.search(text) or _SIGN_WITHIN.search(text)) or not self.covered(text)
 
-    def length(self, text: str) -> int:
-        data = text.encode("utf-8", "surrogatepass")
-        return min(len((self.press.get(lang) or self.plain).compress(data)) for lang in self.languages(text))
+    def languages(self, text: str) -> set[str]:
+        """Those whose letters cover most of the text's; all of them for a text without a letter beyond ASCII."""
+        chars = self._chars(text)
+        best = self.spoken.get(chars)
+        if best is None:
+            if len(self.spoken) > 100_000:
+                self.spoken.clear()
+            score = {lang: len(chars & own) for lang, own in self.letters.items()}
+            most = max(score.values(), default=0)
+            best = self.spoken[chars] = {lang for lang, x in score.items() if x == most}
+        return best
+
+    def length(self, text: str, languages: set[str]) -> float:
+        """Bytes of the text, without regard to case, with the best dictionary; a letter the language hasn't costs more."""
+        data = text.lower().encode("utf-8", "surrogatepass")
+        return min(len(self.press.get(lang, self.plain).compress(data)) + STRANGE_COST * len(self.beyond[lang].findall(text)) for lang in languages)
+
+    def covered(self, text: str) -> bool:
+        """Whether one language has all letters of the text."""
+        return any(not beyond.search(text) for beyond in self.beyond.values())
 
     def strange(self, text: str) -> int:
         """Characters that no correct text holds."""
-        return sum(c not in self.good for run in _NON_ASCII.findall(text) for c in run)
+        return len(self.unknown.findall(text))
 
     def suspicious(self, text: str) -> bool:
-        """Whether undoing one reading as UTF-8 leaves nothing strange where it changed something."""
+        """Whether some step that works on parts of a text leaves nothing strange where it changed something."""
         if _LOST in text or any("\x80" <= c <= "\x9f" for c in text):
             return True
         before = self.strange(text)
-        for step in self.sure:
-            other = step.undo(text)
-            if other != text and self.strange(other) <= before:
+        for step in self.applicable(text):
+            if step.local and (other := step.undo(text)) != text and self.strange(other) <= before:
                 return True
         return False
 
@@ -224,33 +292,35 @@ class Repairer:
         return known
 
     def _decide(self, text: str) -> Verdict:
-        lost = _LOST in text
         if text.isascii():
             return Verdict(text, "", 0, False)
-        start = self.strange(text)
-        seen, level, found = {text}, [(text, "", 0)], []
+        seen, level, found = {text}, [(text, "", 0.0, self.strange(text))], []
+        swap = self.whole_swap(text)
         for _ in range(self.most_steps):
             after = []
-            for old, chain, cost in level:
-                for step in self.steps if old is text or cost == 0 else self.sure:
+            for old, chain, cost, strange in level:
+                for step in self.applicable(old):
+                    if not step.local and (chain or not swap):
+                        continue
                     new = step.undo(old)
                     if new in seen:
                         continue
                     seen.add(new)
-                    one = (new, f"{chain}, {step.name}" if chain else step.name, cost + step.cost)
-                    strange = self.strange(new)
-                    if isinstance(step, _Swap | _WideSwap) and strange > start:
-                        continue
-                    after.append(one)
-                    if strange <= start:
+                    left = self.strange(new)
+                    if left <= strange:
+                        one = (new, f"{chain}, {step.name}" if chain else step.name, cost + step.cost, left)
                         found.append(one)
+                        if step.local:
+                            after.append(one)
             level = after
+        lost = _LOST in text
         if not found:
             return Verdict(text, "", 0, lost)
-        own = self.length(text)
-        size, best = min(((self.length(new) + cost, one) for one in found for new, _, cost in [one]), key=lambda x: x[0])
+        tongues = [self.languages(one[0]) for one in found]
+        own = self.length(text, set.union(self.languages(text), *tongues))
+        size, best = min(((self.length(one[0], t) + one[2], one) for one, t in zip(found, tongues, strict=True)), key=lambda x: x[0])
         if size < own:
-            return Verdict(best[0], best[1], own - size, True)
+            return Verdict(best[0], best[1], round(own - size), True)
         return Verdict(text, "", 0, lost)
 
 
@@ -275,9 +345,9 @@ def fit(texts: DataFrame, text: str, letters: dict[str, str] | None = None, samp
     samples: dict[str, list[bytes]] = {lang: [] for lang in letters}
     for lang in [*letters, "other"]:
         for row in named.where(F.col("lang") == lang).orderBy("h").limit(sample_texts).collect():
-            if not judge.suspicious(row.text) and not judge.strange(row.text):
+            if not judge.suspicious(row.text) and judge.covered(row.text):
                 for own in judge.languages(row.text) if not row.text.isascii() else ["en"]:
-                    samples[own].append(row.text.encode())
+                    samples[own].append(row.text.lower().encode())
     named.unpersist()
     dictionaries = {}
     for lang, some in samples.items():

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.session import staged
+
 _NOISE = r"[^\p{L}\p{N}]+"
 
 
@@ -21,18 +23,24 @@ def canonical(texts: list[str], lists: list[str]) -> Column:
     return F.array_join(F.array_sort(F.filter(clean, lambda v: v.isNotNull() & (v != ""))), "|")
 
 
-def _records(df: DataFrame, record_id: str, scope: str, texts: list[str], lists: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+def _survivors(df: DataFrame, record_id: str, scope: str, texts: list[str], lists: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The distinct raw rows of every scope with their canonical text, smallest id and number of ids; and all ids with the raw row they have.
+
+    A raw row is known by the MD5 of its bytes, which every shuffle but the
+    first carries in place of the row.
+    """
     t, k = [f"t{i}" for i in range(len(texts))], [f"l{i}" for i in range(len(lists))]
     named = df.select(
         F.col(record_id).alias("id"), F.col(scope).alias("scope"), *[F.col(c).alias(n) for c, n in zip(texts, t, strict=True)], *[F.col(c).alias(n) for c, n in zip(lists, k, strict=True)]
     )
     filled = [F.coalesce(F.col(n), F.lit("")) != "" for n in t] + [F.coalesce(F.size(n), F.lit(0)) > 0 for n in k]
-    return named.where(F.col("id").isNotNull() & F.col("scope").isNotNull() & reduce(lambda a, b: a | b, filled)).dropDuplicates(["id"]), t, k
-
-
-def _survivors(rows: DataFrame, t: list[str], k: list[str]) -> DataFrame:
-    raw = rows.groupBy("scope", *t, *k).agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    return raw.withColumn("canonical", canonical(t, k)).where(F.col("canonical") != "")
+    raw = F.unhex(F.md5(F.to_json(F.struct(*t, *k), {"ignoreNullFields": "false"}).cast("binary")))
+    rows = named.where(F.col("id").isNotNull() & F.col("scope").isNotNull() & reduce(lambda a, b: a | b, filled)).withColumn("raw", raw)
+    members = rows.select("id", "scope", "raw").dropDuplicates(["id"])
+    counts = members.groupBy("scope", "raw").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    distinct = rows.groupBy("scope", "raw").agg(*[F.first(c).alias(c) for c in (*t, *k)])
+    text = distinct.select("scope", "raw", canonical(t, k).alias("canonical")).where(F.col("canonical") != "")
+    return staged(text.join(counts, ["scope", "raw"]), "distinct-rows"), members
 
 
 def _groups(survivors: DataFrame) -> DataFrame:
@@ -47,21 +55,18 @@ def collapse(df: DataFrame, record_id: str, scope: str, texts: list[str], lists:
     and empty values don't count; a record without any value, without id or
     without scope is left out.  Other columns are not read.
     """
-    rows, t, k = _records(df, record_id, scope, texts, lists)
-    return _groups(_survivors(rows, t, k)).select("scope", "keep_id", "copies")
+    return _groups(_survivors(df, record_id, scope, texts, lists)[0]).select("scope", "keep_id", "copies")
 
 
 def copies(df: DataFrame, record_id: str, scope: str, texts: list[str], lists: list[str]) -> DataFrame:
     """Membership: keep_id and copy_id for every record but the kept one of each group.
 
-    Ids come back by a join on the raw values; both joins leave out what has
-    no copy, and a value that a third of the rows share is a skewed partition
-    that the adaptive join splits, its other side being one row.
+    Both joins leave out what has no copy.  A raw row that a third of the
+    records share is a skewed partition of ids that the adaptive join splits,
+    its other side being one row.
     """
-    rows, t, k = _records(df, record_id, scope, texts, lists)
-    survivors = _survivors(rows, t, k)
+    survivors, members = _survivors(df, record_id, scope, texts, lists)
     shared = _groups(survivors).where(F.col("copies") > 1)
-    kept = survivors.join(shared, ["scope", "canonical"]).select("scope", *t, *k, "keep_id")
-    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ["scope", *t, *k]])
-    found = rows.alias("r").join(kept.alias("s"), same).select(F.col("s.keep_id"), F.col("r.id").alias("copy_id"))
+    kept = survivors.join(shared, ["scope", "canonical"]).select("scope", "raw", "keep_id")
+    found = members.join(kept, ["scope", "raw"]).select("keep_id", F.col("id").alias("copy_id"))
     return found.where(F.col("keep_id") != F.col("copy_id"))

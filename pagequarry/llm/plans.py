@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import format_duplicates, leakage, quantiles, seen, shared_spans
+from pagequarry.llm import encoding_repair, format_duplicates, leakage, quantiles, seen, shared_spans
 from pagequarry.session import staged, table
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.95, 0.99]
 _PAGE = (["title", "meta_description"], ["h1"])
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "crawled_urls").select("id", "title", "meta_description")
+    model = encoding_repair.fit(pages.select(F.explode(F.array("title", "meta_description")).alias("text")), "text")
+    return encoding_repair.repair(pages, "id", ["title", "meta_description"], model)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("id", "field").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).dropDuplicates(["id", "field"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.copies(table(spark, d, "crawled_urls"), "id", "crawl_id", *_PAGE)
 
@@ -93,7 +107,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(staged(_spans(spark, d), "spans"), table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds, p8_found, p8_items, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds, p8_found, p8_items, p10_found, p10_shares)}
 
 _COPIES = r"""
 WITH pages AS (SELECT DISTINCT id, crawl_id, title, meta_description, h1 FROM crawled_urls),
