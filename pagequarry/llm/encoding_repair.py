@@ -128,11 +128,11 @@ class _Wide:
 class _Stripped:
     """UTF-8 read as Latin-1 whose control characters somebody removed: what is left of a sign, and the sign it most likely was."""
 
-    cost, local = WIDE_COST, True
+    cost, local = WIDE_COST + 1, True
 
     def __init__(self, capital: str):
         self.name, self.first = f"utf-8 as latin-1 without controls ({capital})", capital == "É"
-        self.rules = [(re.compile(a), b) for a, b in (("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"), (r"(?<!\w)â(?=\w)", "“"), (r"(?<=\w)â(?!\w)", "”"), ("Ã(?![\u0080-\u00bf])", capital))]
+        self.rules = [(re.compile(a, re.I), b) for a, b in (("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnst])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"), (r"(?<!\w)â(?=\w)", "“"), (r"(?<=\w)â(?!\w)", "”"), ("(?-i:Ã)(?![\u0080-\u00bf])", capital))]
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
         return "Ã" in chars or (self.first and "â" in chars)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import encoding_repair, format_duplicates, leakage, quantiles, seen, shared_spans
+from pagequarry.llm import encoding_repair, format_duplicates, leakage, mixing, quantiles, seen, shared_spans
 from pagequarry.session import staged, table
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PERCENTILES = [0.25, 0.5, 0.75, 0.95, 0.99]
 _PAGE = (["title", "meta_description"], ["h1"])
 
@@ -95,6 +96,19 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("containment"), 6).alias("most"))
 
 
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = mixing.with_tokens(table(spark, d, "documents"), "text", VOCABULARY, ["doc_id", "source"])
+    return mixing.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(staged(_mix(spark, d), "mix"), table(spark, d, "mix_targets"), "doc_id")
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
@@ -107,7 +121,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(staged(_spans(spark, d), "spans"), table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds, p8_found, p8_items, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_records, p5_found, p5_report, p6_percentiles, p6_sites, p6_bounds, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_shares)}
 
 _COPIES = r"""
 WITH pages AS (SELECT DISTINCT id, crawl_id, title, meta_description, h1 FROM crawled_urls),
