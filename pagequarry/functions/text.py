@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Widths of the characters from space to tilde in pixels, and of any other character.
 PIXELS = [
@@ -98,7 +99,7 @@ def _simhash(text: str) -> int:
     return int(np.packbits(votes > 0, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([_simhash(t) if isinstance(t, str) else None for t in texts], dtype="Int64")

@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of a path that stay as they are.
 _SAFE = "/:@!$&'()*+,;=-._~"
@@ -30,12 +31,12 @@ def normalise(url: str | None, base: str | None = None) -> str | None:
     return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), quote(unquote(parts.path or "/"), safe=_SAFE), parts.query, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_url(urls: pd.Series) -> pd.Series:
     return urls.map(normalise, na_action="ignore").astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(urls: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([normalise(u, b) for u, b in zip(urls, bases, strict=True)], dtype=object)
 
@@ -87,7 +88,7 @@ def rewrite(url: Column, rules: list[tuple[str, str]] = (), strip: list[str] = (
     if strip:
         names = frozenset(strip)
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(T.StringType())
         def without(urls: pd.Series) -> pd.Series:
             def one(u: str) -> str:
                 p = urlsplit(u)
