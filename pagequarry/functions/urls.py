@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote, unquote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +16,7 @@ _SAFE = "/:@!$&'()*+,;=-._~"
 
 
 def normalise(url: str | None, base: str | None = None) -> str | None:
-    """The form under which URLs are compared: absolute, http(s), scheme and host in lower case, no fragment, canonical escapes.
+    """The form under which URLs are compared: absolute, http(s), scheme and host in lower case, no escapes in the host, no fragment, canonical escapes.
 
     None for null, blank or other schemes.
     """
@@ -28,7 +28,7 @@ def normalise(url: str | None, base: str | None = None) -> str | None:
         return None
     if parts.scheme.lower() not in ("http", "https") or not parts.netloc:
         return None
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), quote(unquote(parts.path or "/"), safe=_SAFE), parts.query, ""))
+    return urlunsplit((parts.scheme.lower(), unquote(parts.netloc).lower(), quote(unquote(parts.path or "/"), safe=_SAFE), parts.query, ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -84,19 +84,11 @@ def in_scope(url: Column, base_host: str, cdn_hosts: list[str] = (), include: li
 
 
 def rewrite(url: Column, rules: list[tuple[str, str]] = (), strip: list[str] = ()) -> Column:
-    """Removes query parameters by name, then applies (pattern, replacement) rules in order."""
+    """Removes query parameters by name, then applies (pattern, replacement) rules in order; an address without such a parameter keeps its spelling."""
     if strip:
-        names = frozenset(strip)
-
-        @F.pandas_udf(T.StringType())
-        def without(urls: pd.Series) -> pd.Series:
-            def one(u: str) -> str:
-                p = urlsplit(u)
-                return urlunsplit((p.scheme, p.netloc, p.path, urlencode([(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k not in names]), p.fragment))
-
-            return urls.map(one, na_action="ignore").astype(object)
-
-        url = without(url)
+        names = "|".join(re.escape(n) for n in strip)
+        cut = F.regexp_replace(url, f"([?&])(?:{names})(?:=[^&#]*)?(?=[&#]|$)", "$1")
+        url = F.when(cut == url, url).otherwise(F.regexp_replace(F.regexp_replace(cut, "([?&])&+", "$1"), "[?&]+(?=#|$)", ""))
     for pattern, replacement in rules:
         url = F.regexp_replace(url, pattern, replacement)
     return url
