@@ -80,26 +80,63 @@ def content_hash(html: Column) -> Column:
 _OFFSET, _PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
 
 
-def _simhash(text: str) -> int:
-    """Signed 64-bit SimHash over character trigrams hashed with FNV-1a; 0 for a blank text."""
-    flat = " ".join(text.lower().split())
-    if not flat:
-        return 0
-    grams, counts = np.unique([flat[i : i + 3] for i in range(len(flat) - 2)] or [flat], return_counts=True)
-    raw = [g.encode() for g in grams.tolist()]
-    data = np.zeros((len(raw), max(map(len, raw))), dtype=np.uint64)
+_TRIGRAMS_AT_ONCE = 200_000
+
+
+def _gram_bits(grams: list[str]) -> np.ndarray:
+    """One row of 64 votes, +1 or -1, for each gram's FNV-1a hash."""
+    raw = [g.encode() for g in grams]
     size = np.array([len(r) for r in raw])
+    data = np.zeros((len(raw), int(size.max())), dtype=np.uint64)
     for i, r in enumerate(raw):
         data[i, : len(r)] = np.frombuffer(r, dtype=np.uint8)
     h = np.full(len(raw), _OFFSET)
     for j in range(data.shape[1]):
         h = np.where(size > j, (h ^ data[:, j]) * _PRIME, h)
-    bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
-    votes = ((2 * bits - 1) * counts[:, None]).sum(axis=0)
+    return (((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int16) * 2 - 1).astype(np.int16)
+
+
+def _simhashes(texts: list[str]) -> list[int]:
+    """Signed 64-bit SimHashes over character trigrams; 0 for a blank text.  Each distinct trigram of the lot is hashed once."""
+    flat = [" ".join(t.lower().split()) for t in texts]
+    result = [0] * len(texts)
+    long = [i for i, t in enumerate(flat) if len(t) >= 3]
+    for i, t in enumerate(flat):
+        if 0 < len(t) < 3:
+            result[i] = _folded(_gram_bits([t])[0])
+    start = 0
+    while start < len(long):
+        stop, n = start, 0
+        while stop < len(long) and (stop == start or n < _TRIGRAMS_AT_ONCE):
+            n += len(flat[long[stop]]) - 2
+            stop += 1
+        keys = []
+        for i in long[start:stop]:
+            c = np.frombuffer(flat[i].encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            keys.append((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        votes = _gram_bits([chr(k >> 42) + chr((k >> 21) & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in distinct.tolist()])
+        ends = np.cumsum([k.size for k in keys])
+        for i, a, b in zip(long[start:stop], [0, *ends[:-1]], ends, strict=True):
+            counts = np.bincount(which[a:b], minlength=distinct.size)
+            here = np.flatnonzero(counts)
+            result[i] = _folded(counts[here] @ votes[here].astype(np.int64))
+        start = stop
+    return result
+
+
+def _folded(votes: np.ndarray) -> int:
     return int(np.packbits(votes > 0, bitorder="little").view(np.int64)[0])
 
 
+def _simhash(text: str) -> int:
+    return _simhashes([text])[0]
+
+
 @F.pandas_udf(T.LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([_simhash(t) if isinstance(t, str) else None for t in texts], dtype="Int64")
+        given = texts.notna().to_numpy()
+        out = np.zeros(len(texts), dtype=np.int64)
+        out[given] = _simhashes(texts[given].tolist())
+        yield pd.Series(pd.array(out, dtype="Int64")).mask(~given)

@@ -28,11 +28,22 @@ def near_pairs(values: DataFrame) -> DataFrame:
     32 bits, is a join key, so that keys are met by chance only rarely.
     """
     f = C("fingerprint")
+    masks = [(1 << b) - (1 << a) for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
     blocks = [F.shiftrightunsigned(f, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
-    keys = [F.struct(F.lit(i).alias("t"), F.xxhash64(*[blocks[j] for j in chosen]).alias("k")) for i, chosen in enumerate(combinations(range(6), 3))]
+    tables = list(combinations(range(6), 3))
+    keys = [F.struct(F.lit(i).alias("t"), F.xxhash64(*[blocks[j] for j in chosen]).alias("k")) for i, chosen in enumerate(tables)]
     keyed = values.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*keys)).alias("x")).select("fingerprint", "x.t", "x.k")
     a, b = keyed.withColumnRenamed("fingerprint", "a"), keyed.withColumnRenamed("fingerprint", "b")
-    return a.join(b, ["t", "k"]).where((C("a") < C("b")) & (F.bit_count(C("a").bitwiseXOR(C("b"))) <= MOST_BITS)).select("a", "b").distinct()
+    differ = C("a").bitwiseXOR(C("b"))
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    first = F.lit(False)  # a pair met in several tables counts in the one of its first three equal blocks
+    for i, chosen in enumerate(tables):
+        here = C("t") == i
+        for j in range(chosen[-1]):
+            if j not in chosen:
+                here = here & (differ.bitwiseAND(F.lit(signed[j]).cast("bigint")) != 0)
+        first = first | here
+    return a.join(b, ["t", "k"]).where((C("a") < C("b")) & (F.bit_count(differ) <= MOST_BITS) & first).select("a", "b")
 
 
 def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pagequarry.functions import urls
 from pagequarry.functions.common import field, is_html, seo_document
 from pagequarry.functions.text import pixel_width
 from pagequarry.operators.registry import registry
+from pagequarry.session import staged
 
 
 def with_document(pages: DataFrame) -> DataFrame:
@@ -169,33 +170,41 @@ def pagination_refs(pages: DataFrame) -> DataFrame:
     return p.select("crawl_id", F.col("id").alias("url_id"), "url", F.explode(refs).alias("r")).select("crawl_id", "url_id", "url", "r.rel", "r.target").where(_filled(F.col("target")))
 
 
-def pagination_not_200(pages: DataFrame) -> DataFrame:
+def pagination_not_200(pages: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     answered = pages.where(F.col("status_code") != 200).select("crawl_id", F.col("url").alias("target"), "status_code")
-    return pagination_refs(pages).join(answered, ["crawl_id", "target"]).select("crawl_id", "url_id", "rel", "target", "status_code", F.lit("non_200_pagination_url").alias("issue_type"))
+    return _refs(pages, refs).join(answered, ["crawl_id", "target"]).select("crawl_id", "url_id", "rel", "target", "status_code", F.lit("non_200_pagination_url").alias("issue_type"))
 
 
-def pagination_unlinked(pages: DataFrame, links: DataFrame) -> DataFrame:
+def pagination_unlinked(pages: DataFrame, links: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     linked = links.select("crawl_id", F.col("target_url").alias("target")).distinct()
-    return pagination_refs(pages).join(linked, ["crawl_id", "target"], "left_anti").select("crawl_id", "url_id", "rel", "target", F.lit("unlinked_pagination_url").alias("issue_type"))
+    return _refs(pages, refs).join(linked, ["crawl_id", "target"], "left_anti").select("crawl_id", "url_id", "rel", "target", F.lit("unlinked_pagination_url").alias("issue_type"))
 
 
-def pagination_not_in_anchor(pages: DataFrame, links: DataFrame) -> DataFrame:
+def pagination_not_in_anchor(pages: DataFrame, links: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """References that the page itself doesn't link."""
     own = links.select(F.col("source_url_id").alias("url_id"), F.col("target_url").alias("target")).distinct()
-    return pagination_refs(pages).join(own, ["url_id", "target"], "left_anti").select("crawl_id", "url_id", "rel", "target", F.lit("pagination_url_not_in_anchor").alias("issue_type"))
+    return _refs(pages, refs).join(own, ["url_id", "target"], "left_anti").select("crawl_id", "url_id", "rel", "target", F.lit("pagination_url_not_in_anchor").alias("issue_type"))
 
 
-def pagination_sequence(pages: DataFrame) -> DataFrame:
+def pagination_sequence(pages: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """References whose page has no reference back, or one to another page; back is '(none)' where there is none."""
-    refs = pagination_refs(pages)
-    back = with_document(pages.where(is_html())).select("crawl_id", F.col("url").alias("target"), F.col("rel_next").alias("_next"), F.col("rel_prev").alias("_prev"))
-    found = refs.join(back, ["crawl_id", "target"]).withColumn("back", F.when(F.col("rel") == "next", F.col("_prev")).otherwise(F.col("_next")))
+    refs = _refs(pages, refs)
+    page = pages.where(is_html()).select("crawl_id", F.col("url").alias("target"), F.col("id").alias("back_id"))
+    opposite = F.when(F.col("rel") == "next", "prev").otherwise("next")
+    back = refs.select(F.col("url_id").alias("back_id"), opposite.alias("rel"), F.col("target").alias("back")).distinct()
+    found = refs.join(page, ["crawl_id", "target"]).join(back, ["back_id", "rel"], "left")
     return found.where(~F.col("back").eqNullSafe(F.col("url"))).select("crawl_id", "url_id", "rel", "target", F.coalesce("back", F.lit("(none)")).alias("back"), F.lit("pagination_sequence_error").alias("issue_type"))
 
 
+def _refs(pages: DataFrame, refs: DataFrame | None) -> DataFrame:
+    return pagination_refs(pages) if refs is None else refs
+
+
 def all_issues(pages: DataFrame, links: DataFrame, extended: bool = False) -> DataFrame:
     """Every issue with its severity and category: crawl_id, url_id, issue_type, severity, category."""
-    parts = [page_issues(pages), duplicate_values(pages), broken_links(pages, links), canonical_targets(pages), pagination_not_200(pages), pagination_unlinked(pages, links), pagination_not_in_anchor(pages, links), pagination_sequence(pages)]
+    refs = staged(pagination_refs(pages), "pagination-refs")  # parsed once for four checks
+    parts = [page_issues(pages), duplicate_values(pages), broken_links(pages, links), canonical_targets(pages)]
+    parts += [pagination_not_200(pages, refs), pagination_unlinked(pages, links, refs), pagination_not_in_anchor(pages, links, refs), pagination_sequence(pages, refs)]
     if extended:
         parts.append(indexability_issues(pages))
     issues = parts[0]
