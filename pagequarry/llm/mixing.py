@@ -161,8 +161,8 @@ def mix(
 
 def shares(mixed: DataFrame, targets: DataFrame, record_id: str, size: str = "tokens") -> DataFrame:
     """Per target source: target_share, tokens, share (of all tokens), records, distinct_records, most_uses, max_repeats."""
-    used = mixed.groupBy("source", record_id).agg(F.count("*").alias("uses"), F.sum(size).alias("n"))
-    reached = used.groupBy("source").agg(F.sum("n").alias("tokens"), F.sum("uses").alias("records"), F.count("*").alias("distinct_records"), F.max("uses").alias("most_uses"))
+    used = mixed.select("source", F.col(record_id).alias("_id"), F.col(size).alias("_size")).groupBy("source", "_id").agg(F.count("*").alias("_uses"), F.sum("_size").alias("_size"))
+    reached = used.groupBy("source").agg(F.sum("_size").alias("tokens"), F.sum("_uses").alias("records"), F.count("*").alias("distinct_records"), F.max("_uses").alias("most_uses"))
     joined = targets.select("source", "target_share", "max_repeats").join(reached, "source", "left").withColumn("all", F.sum("tokens").over(Window.partitionBy()))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("source", "target_share", "max_repeats", zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("share"), zero("records"), zero("distinct_records"), zero("most_uses"))
