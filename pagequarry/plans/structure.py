@@ -127,4 +127,9 @@ SELECT crawl_id, u AS url, s AS leads_here, CAST(hops AS INTEGER) AS hops FROM u
     "p4_summary": _CHANGES
     + """SELECT crawl_id, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed,
   count(*) FILTER (change_type = 'changed') AS changed FROM changes GROUP BY crawl_id""",
+    "p7_found": r"""WITH doc0 AS (SELECT DISTINCT id, CASE WHEN json_valid(seo_data) THEN CAST(seo_data AS JSON) END AS j FROM crawled_urls),
+s AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS doc FROM doc0),
+t AS (SELECT s.id, t.id AS n, t.parent AS up, t.type, replace(regexp_replace(t.fullkey, '^\$\.?', ''), '"', '') AS p FROM s, json_tree(s.doc) t WHERE s.doc IS NOT NULL),
+e AS MATERIALIZED (SELECT a.id, a.p AS node_path FROM t a JOIN t b ON b.id = a.id AND b.n = a.up WHERE a.type = 'OBJECT' AND b.type = 'ARRAY')
+SELECT e.id, e.node_path, coalesce((SELECT max_by(o.node_path, length(o.node_path)) FROM e o WHERE o.id = e.id AND length(o.node_path) < length(e.node_path) AND starts_with(e.node_path, o.node_path)), '') AS parent_path FROM e""",
 }
