@@ -132,7 +132,11 @@ class _Stripped:
 
     def __init__(self, capital: str):
         self.name, self.first = f"utf-8 as latin-1 without controls ({capital})", capital == "É"
-        self.rules = [(re.compile(a, re.I), b) for a, b in (("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnst])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"), (r"(?<!\w)â(?=\w)", "“"), (r"(?<=\w)â(?!\w)", "”"), ("(?-i:Ã)(?![\u0080-\u00bf])", capital))]
+        rules = [
+            ("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?i:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnstLDCJMNST])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"),
+            (r"(?<!\w)â(?=\w)([^â]*)(?<=\w)â(?!\w)", r"“\1”"), ("Ã(?![\u0080-\u00bf])", capital),
+        ]
+        self.rules = [(re.compile(a), b) for a, b in rules]
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
         return "Ã" in chars or (self.first and "â" in chars)

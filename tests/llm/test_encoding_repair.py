@@ -51,7 +51,7 @@ def test_swapped_cyrillic_and_polish(judge):
 
 
 def test_correct_text_stays(judge):
-    for t in [*texts(), "ÂNCORA & PÃO", "½ m² ±5°", "&eacute; %C3%A9", "日本語の写真", "", "plain", "LÂMPADA", "No.º 5 « à »"]:
+    for t in [*texts(), "ÂNCORA & PÃO", "Buy sturdy doormat · ÂNCORA & PÃO", "buy sturdy doormat · âncora & pão", "théâtres plâtres", "½ m² ±5°", "&eacute; %C3%A9", "日本語の写真", "", "plain", "LÂMPADA", "No.º 5 « à »"]:
         v = judge.decide(t)
         assert not v.garbled and v.text == t, v
 
