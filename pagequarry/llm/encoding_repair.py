@@ -130,16 +130,16 @@ class _Stripped:
 
     cost, local = WIDE_COST + 1, True
 
-    def __init__(self, capital: str):
-        self.name, self.first = f"utf-8 as latin-1 without controls ({capital})", capital == "É"
+    def __init__(self, lone: dict[str, str], first: bool = False):
+        self.name, self.first, self.lone = f"utf-8 as latin-1 without controls ({''.join(lone.values())})", first, set(lone)
         rules = [
             ("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?i:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnstLDCJMNST])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"),
-            (r"(?<!\w)â(?=\w)([^â]*)(?<=\w)â(?!\w)", r"“\1”"), ("Ã(?![\u0080-\u00bf])", capital),
+            (r"(?<!\w)â(?=\w)([^â]*)(?<=\w)â(?!\w)", r"“\1”"), *((f"{lead}(?![\u0080-\u00bf])", letter) for lead, letter in lone.items()),
         ]
         self.rules = [(re.compile(a), b) for a, b in rules]
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
-        return "Ã" in chars or (self.first and "â" in chars)
+        return not chars.isdisjoint(self.lone) or (self.first and "â" in chars)
 
     def undo(self, text: str) -> str:
         for find, sign in self.rules:
@@ -227,7 +227,7 @@ class Repairer:
             d.precompute_compress(level=LEVEL)
             self.press[lang] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.steps = [_Narrow(e) for e in READERS] + [_Wide(e) for e in WIDE_READERS] + [_Stripped(c) for c in "ÉÀÁÚÓÖÜÄÑÇß"] + [_Swap(*x) for x in SWAPS] + [_WideSwap(*x) for x in WIDE_SWAPS]
+        self.steps = [_Narrow(e) for e in READERS] + [_Wide(e) for e in WIDE_READERS] + [_Stripped({"Ã": c}, c == "É") for c in "ÉÀÁÚÓÖÜÄÑÇß"] + [_Stripped({"Å": a, "Ä": b}) for a, b in ("łę", "żą", "ść", "ńę", "řě", "žč", "šď")] + [_Swap(*x) for x in SWAPS] + [_WideSwap(*x) for x in WIDE_SWAPS]
         outside = lambda known: re.compile("[^\\x00-\\x7f" + re.escape("".join(sorted(known))) + "]")
         self.beyond = {lang: outside(self.signs | own) for lang, own in self.letters.items()}
         self.unknown = outside(self.good)

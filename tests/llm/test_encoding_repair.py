@@ -41,6 +41,7 @@ def test_twice_partly_and_lost(judge):
     t = "théières rénovées No7"
     assert judge.decide(bad(bad(t))).text == t
     assert judge.decide(f"{bad('théières')} brûlées No3").text == "théières brûlées No3"
+    assert judge.decide("".join(c for c in bad("małe łóżka książki") if not "\x80" <= c <= "\x9f")).garbled
     v = judge.decide("th�i�res No1")
     assert v.garbled and v.text == "th�i�res No1" and v.chain == ""
 
