@@ -86,6 +86,32 @@ def due_schedules(schedules: DataFrame, now) -> DataFrame:
     return schedules.where(C("is_active") & C("next_run_at").isNotNull() & (C("next_run_at") <= F.lit(now))).orderBy("next_run_at", "id")
 
 
+def newest_first(rows: DataFrame, at: str = "created_at", key: str = "id", cursor: tuple | None = None, limit: int = 50) -> DataFrame:
+    """A page of rows by time, newest first, then by key; the cursor is the last row's pair, so pages neither skip nor repeat."""
+    kept = rows if cursor is None else rows.where((C(at) < F.lit(cursor[0])) | ((C(at) == F.lit(cursor[0])) & (C(key) > F.lit(cursor[1]))))
+    return kept.orderBy(C(at).desc_nulls_last(), key).limit(limit + 1)
+
+
+def list_alerts(alerts: DataFrame, project_id: str | None = None, unread_only: bool = False) -> DataFrame:
+    a = alerts if project_id is None else alerts.where(C("project_id") == project_id)
+    return a.where(~C("is_read")) if unread_only else a
+
+
+def unread_counts(alerts: DataFrame) -> DataFrame:
+    return alerts.groupBy("project_id").agg(F.count_if(~C("is_read")).alias("unread"))
+
+
+def mark_read(alerts: DataFrame, which: Column) -> DataFrame:
+    """The alerts with those that meet ``which`` read; a null test leaves one as it is."""
+    return alerts.withColumn("is_read", C("is_read") | F.coalesce(which, F.lit(False)))
+
+
+def rule_results(results: DataFrame, rules: DataFrame, pages: DataFrame, rule_key: str) -> DataFrame:
+    """Results of custom extractors or searches with their rule's name and their page's address."""
+    named = results.join(rules.select(C("id").alias(rule_key), "name"), rule_key)
+    return named.join(pages.select(C("id").alias("url_id"), "url").dropDuplicates(["url_id"]), "url_id")
+
+
 #: Named conditions of the page views.
 PRESETS: dict[str, dict] = {
     "all": {}, "html": {"content_type": "html"}, "javascript": {"content_type": "javascript"}, "css": {"content_type": "css"}, "images": {"content_type": "image"}, "pdf": {"content_type": "pdf"}, "other": {"content_type": "other"},

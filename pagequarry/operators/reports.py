@@ -358,3 +358,23 @@ def dashboard(projects: DataFrame, crawls: DataFrame) -> DataFrame:
     return projects.select(C("id").alias("project_id"), "name").join(c, "project_id", "left").na.fill(0, ["crawls", "urls", "errors", "active"])
 
 
+def redirect_counts(pages: DataFrame) -> DataFrame:
+    """Per crawl: redirecting pages, long chains (over two hops), pages that answered 301 and 302."""
+    return pages.groupBy("crawl_id").agg(F.count_if(F.size("redirect_chain") > 0).alias("redirected"), F.count_if(F.size("redirect_chain") > 2).alias("long"), F.count_if(C("status_code") == 301).alias("moved"), F.count_if(C("status_code") == 302).alias("found"))
+
+
+def cookie_totals(pages: DataFrame) -> DataFrame:
+    """Per crawl: pages with cookies, cookies, and those not marked secure."""
+    p = with_document(pages).select("crawl_id", F.try_variant_get("doc", "$.cookies", "array<variant>").alias("c")).where(F.size("c") > 0)
+    open_ = F.size(F.filter("c", lambda x: ~F.coalesce(F.try_variant_get(x, "$.secure", "boolean"), F.lit(False))))
+    return p.groupBy("crawl_id").agg(F.count("*").alias("pages"), F.sum(F.size("c")).alias("cookies"), F.sum(open_).alias("not_secure"))
+
+
+def project_crawls(crawls: DataFrame, k: int = 50) -> DataFrame:
+    """The newest crawls of each project."""
+    return top_per(crawls.dropDuplicates(["id"]).select("project_id", "id", "status", "created_at"), ["project_id"], [C("created_at").desc(), C("id")], k)
+
+
+def summary(pages: DataFrame, issues: DataFrame) -> dict[str, DataFrame]:
+    """The sections of a crawl's summary report, for the report sink."""
+    return {"health": health(pages, issues), "overview": overview(pages), "quick wins": quick_wins(pages, issues), "performance": performance(pages)}

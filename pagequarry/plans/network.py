@@ -127,6 +127,11 @@ add(
 add("list_search", lambda spark, d: filters.list_pages(pages(spark, d), search=" Guides/ ", is_indexable=True).select("id", "url"), "SELECT id, url FROM crawled_urls WHERE is_indexable AND contains(lower(url), 'guides/')")
 add("list_keyset", lambda spark, d: filters.keyset_page(pages(spark, d).select("id", "url").distinct(), "id", "80000000-0000-0000-0000-000000000000", 50), "SELECT DISTINCT id, url FROM crawled_urls WHERE id > '80000000-0000-0000-0000-000000000000' ORDER BY id LIMIT 51")
 add("list_by_issue", lambda spark, d: filters.preset(pages(spark, d), "duplicate_title", issues(spark, d)).select("id", "url"), ISSUES + " SELECT id, url FROM crawled_urls WHERE id IN (SELECT url_id FROM issues WHERE issue_type = 'duplicate_title')")
+add(
+    "list_newest",
+    lambda spark, d: filters.newest_first(table(spark, d, "crawls").dropDuplicates(["id"]).select("id", "status", "created_at")).select("id", "status"),
+    "SELECT id, status FROM (SELECT DISTINCT id, status, created_at FROM crawls) ORDER BY created_at DESC, id LIMIT 51",
+)
 add("list_structured_data", lambda spark, d: filters.with_structured_data(pages(spark, d)).select("id"), f"WITH {DOC} SELECT id FROM s WHERE len(json_extract(doc, '$.json_ld[*]')) > 0")
 add("list_custom_extractions", lambda spark, d: filters.with_custom_extractions(pages(spark, d)).select("id"), f"WITH {DOC} SELECT id FROM s WHERE len(json_keys(doc, '$.custom_extractions')) > 0")
 for _kind, _test in (("contains", "n <> '' OR p <> ''"), ("first_page", "n <> '' AND p = ''"), ("paginated_2_plus", "p <> ''")):

@@ -228,3 +228,18 @@ report(
   FROM (SELECT DISTINCT id, project_id, crawled_urls_count, error_count, status, created_at FROM crawls) GROUP BY 1)
 SELECT p.id AS project_id, name, coalesce(crawls, 0) AS crawls, coalesce(urls, 0) AS urls, coalesce(errors, 0) AS errors, coalesce(active, 0) AS active, last FROM projects p LEFT JOIN c ON c.project_id = p.id""",
 )
+on_pages(
+    "redirect_counts",
+    reports.redirect_counts,
+    "SELECT crawl_id, count(*) FILTER (len(redirect_chain) > 0) AS redirected, count(*) FILTER (len(redirect_chain) > 2) AS long, count(*) FILTER (status_code = 301) AS moved, count(*) FILTER (status_code = 302) AS found FROM crawled_urls GROUP BY 1",
+)
+on_pages(
+    "cookie_totals",
+    reports.cookie_totals,
+    f"WITH {DOC}, c AS (SELECT crawl_id, json_extract(doc, '$.cookies[*]') AS c FROM s) SELECT crawl_id, count(*) AS pages, CAST(sum(len(c)) AS BIGINT) AS cookies, CAST(sum({_FLAG.format('secure')}) AS BIGINT) AS not_secure FROM c WHERE len(c) > 0 GROUP BY 1",
+)
+report(
+    "project_crawls",
+    lambda spark, d: micros(reports.project_crawls(table(spark, d, "crawls")), "created_at"),
+    "WITH c AS (SELECT DISTINCT project_id, id, status, epoch_us(created_at) AS created_at FROM crawls) " + top("*", "c", "created_at DESC, id", 50, "project_id"),
+)

@@ -21,6 +21,14 @@ def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     df.repartition("crawl_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
 
 
+def drop_crawls(spark, path: str, crawl_ids: list[str]) -> None:
+    """Deletes the folders of the given crawls from a table that ``write_table`` wrote."""
+    jvm = spark._jvm
+    for crawl in crawl_ids:
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"crawl_id={crawl}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def split_valid(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     """Rows to store and rows to set aside; a null test sets aside."""
     test = F.coalesce(valid, F.lit(False))

@@ -55,6 +55,8 @@ def test_sinks_round_trip(spark):
         crawl = pages.first().crawl_id
         assert spark.read.parquet(f"{d}/table").where(f"crawl_id = '{crawl}'").count() == pages.where(f"crawl_id = '{crawl}'").count()
         assert any(x.startswith("crawl_id=") for x in os.listdir(f"{d}/table"))
+        sinks.drop_crawls(spark, f"{d}/table", [crawl, "unknown"])
+        assert spark.read.parquet(f"{d}/table").where(f"crawl_id = '{crawl}'").count() == 0
     page = sinks.html_report("<A>", {"counts": pages.groupBy("status_code").count()})
     assert "&lt;A&gt;" in page and "<table>" in page
     good, bad = sinks.split_valid(pages, pages.status_code.isNotNull())
