@@ -346,13 +346,21 @@ def fit(texts: DataFrame, text: str, letters: dict[str, str] | None = None, samp
         pick = F.when(F.col("text").rlike(f"[{mark}]"), F.lit(lang)).otherwise(pick)
     pick = F.coalesce(pick, F.when(F.col("text").rlike("^[\\x00-\\x7f]*$"), F.lit("en")).otherwise(F.lit("other")))
     named = values.select("text", pick.alias("lang"), F.xxhash64("text").alias("h")).cache()
+    counts = {row.lang: row["count"] for row in named.groupBy("lang").count().collect()}
+    below = F.lit(False)  # a share of each language's hashes that holds about a fifth more than is wanted
+    for lang, n in counts.items():
+        share = min(1.0, 1.2 * sample_texts / n)
+        below = below | ((F.col("lang") == lang) & (F.col("h") <= min(2**63 - 1, -(2**63) + int(share * 2**64))))
+    chosen: dict[str, list] = {}
+    for row in sorted(named.where(below).collect(), key=lambda r: r.h):
+        chosen.setdefault(row.lang, []).append(row.text)
+    named.unpersist()
     samples: dict[str, list[bytes]] = {lang: [] for lang in letters}
     for lang in [*letters, "other"]:
-        for row in named.where(F.col("lang") == lang).orderBy("h").limit(sample_texts).collect():
-            if not judge.suspicious(row.text) and judge.covered(row.text):
-                for own in judge.languages(row.text) if not row.text.isascii() else ["en"]:
-                    samples[own].append(row.text.lower().encode())
-    named.unpersist()
+        for text in chosen.get(lang, [])[:sample_texts]:
+            if not judge.suspicious(text) and judge.covered(text):
+                for own in judge.languages(text) if not text.isascii() else ["en"]:
+                    samples[own].append(text.lower().encode())
     dictionaries = {}
     for lang, some in samples.items():
         try:
