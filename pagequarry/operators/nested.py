@@ -208,3 +208,35 @@ def pivot_table(all_triples: DataFrame, table_path: str, columns: list[str]) ->
     keys = ["record_id", "node_path", "parent_path", "ordinal"]
     rows = all_triples.where(F.col("table_path") == table_path)
     return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_{c}" if c in keys else c) for c in columns])
+
+
+def _full_path():
+    """node_path and column as one path; that of an element ends with a dot."""
+    return F.ltrim(F.concat("node_path", F.lit("."), F.coalesce("column", F.lit(""))), F.lit("."))
+
+
+def objects_under(all_triples: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What stands under ``key`` at any depth, be it one object, an array or arrays of arrays.
+
+    One row each: record_id, node_path, parent_path, holder_path (the object
+    that has ``key``; of objects under ``key`` within each other, the one
+    around them all) and the named columns as text.  An object outside an
+    array has no position; an empty one leaves no triples and so no row.
+    """
+    step = re.escape(key)
+    rows = all_triples.withColumn("_full", _full_path()).withColumn("_node", F.regexp_extract("_full", rf"^((?:.*\.)?{step}(?:\[\d+\])*)\.", 1)).where("_node != ''")
+    element = F.col("column").isNull() & (F.col("node_path") == F.col("_node"))
+    found = rows.where(~element | (F.col("kind") != "array")).groupBy("record_id", "_node").agg(
+        F.max(F.when(element, F.col("parent_path"))).alias("_parent"),
+        *[F.max(F.when(F.col("_full") == F.concat("_node", F.lit(f".{c}")), F.col("value"))).alias(c) for c in columns],
+    )
+    around = F.regexp_extract(F.regexp_replace("_node", r"(\[\d+\])+$", ""), r"^(.*\])\.", 1)
+    holder = F.regexp_replace("_node", rf"((^|\.){step}(\[\d+\])*)+$", "")
+    return found.select("record_id", F.col("_node").alias("node_path"), F.coalesce("_parent", around).alias("parent_path"), holder.alias("holder_path"), *[F.col(f"`{c}`") for c in columns])
+
+
+def field_of_objects(all_triples: DataFrame, field: str) -> DataFrame:
+    """The text of ``field`` in every object that has it: record_id, holder_path (the object) and the field."""
+    rows = all_triples.where((F.col("column") == field) | F.col("column").endswith(f".{field}"))
+    holder = F.regexp_replace(_full_path(), rf"(^|\.){re.escape(field)}$", "")
+    return rows.groupBy("record_id", holder.alias("holder_path")).agg(F.max("value").alias(field))

@@ -59,13 +59,19 @@ def p7_images(spark: SparkSession, d: str) -> DataFrame:
     return flat.select(F.col("record_id").alias("id"), "node_path", "ordinal", "src", "alt", "width", "height")
 
 
+def _offers(triples: DataFrame) -> DataFrame:
+    """Offers under whatever holds them, each with the name of its product."""
+    offers = nested.objects_under(triples, "offers", ["price", "priceCurrency"])
+    names = nested.field_of_objects(triples, "name")
+    return offers.join(names, ["record_id", "holder_path"], "left").select(
+        F.col("record_id").alias("id"), "node_path", "parent_path", F.col("name").alias("product"), "price", F.col("priceCurrency").alias("currency")
+    )
+
+
 def p7_offers(spark: SparkSession, d: str) -> DataFrame:
-    rows = staged(nested.json_triples(table(spark, d, "crawled_urls"), "id", "seo_data").where(F.col("table_path").startswith("json_ld[]")), "nested-triples")
-    offers = nested.pivot_table(rows, "json_ld[].offers[]", ["@type", "price", "priceCurrency"])
-    blocks = nested.pivot_table(rows, "json_ld[]", ["name"])
-    return offers.alias("o").join(
-        blocks.alias("b"), (F.col("o.record_id") == F.col("b.record_id")) & (F.col("o.parent_path") == F.col("b.node_path"))
-    ).select(F.col("o.record_id").alias("id"), F.col("o.node_path"), F.col("o.parent_path"), F.col("name").alias("product"), "price", F.col("priceCurrency").alias("currency"))
+    rows = nested.json_triples(table(spark, d, "crawled_urls"), "id", "seo_data")
+    needed = F.col("node_path").contains("offers") | F.col("column").contains("offers") | (F.col("column") == "name") | F.col("column").endswith(".name")
+    return _offers(staged(rows.where(needed), "nested-triples"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p7_found, p7_columns, p7_images, p7_offers)}

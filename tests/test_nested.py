@@ -1,6 +1,7 @@
 import json
 
 from pagequarry.operators.nested import _parse_deep, elements, json_triples, parse, pivot_table, table_columns
+from pagequarry.plans import structure
 
 
 def frame(spark, rows):
@@ -53,3 +54,31 @@ def test_own_parser_agrees_with_the_library():
         except ValueError:
             continue
         raise AssertionError(text)
+
+
+def test_offers_of_every_shape(spark, tmp_path):
+    offer = {"price": 1, "priceCurrency": "EUR", "seller": {"name": "S"}}
+    docs = {
+        "array": {"json_ld": [{"name": "A", "offers": [offer, {}, None]}]},
+        "object": {"name": "page", "json_ld": {"name": "B", "offers": [offer]}},
+        "nested": {"json_ld": [[{"name": "C", "offers": [[offer], offer]}]]},
+        "single": {"json_ld": [{"name": "D", "offers": offer | {"rates": [{"price": 9}]}}, {"offers": None}, {"offers": "no"}, {"special_offers": [offer]}]},
+        "alone": {"json_ld": {"main": {"name": "E", "offers": offer}}},
+        "aggregate": {"json_ld": [{"name": "F", "offers": {"lowPrice": 1, "offers": [offer]}}]},
+        "no name": {"json_ld": [{"offers": [offer]}]},
+    }
+    spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "id string, seo_data string").write.parquet(f"{tmp_path}/crawled_urls.parquet")
+    got = sorted(tuple(r) for r in structure.p7_offers(spark, str(tmp_path)).collect())
+    assert got == [
+        ("aggregate", "json_ld[0].offers", "json_ld[0]", "F", None, None),
+        ("aggregate", "json_ld[0].offers.offers[0]", "json_ld[0]", "F", "1", "EUR"),
+        ("alone", "json_ld.main.offers", "", "E", "1", "EUR"),
+        ("array", "json_ld[0].offers[0]", "json_ld[0]", "A", "1", "EUR"),
+        ("array", "json_ld[0].offers[1]", "json_ld[0]", "A", None, None),
+        ("array", "json_ld[0].offers[2]", "json_ld[0]", "A", None, None),
+        ("nested", "json_ld[0][0].offers[0][0]", "json_ld[0][0]", "C", "1", "EUR"),
+        ("nested", "json_ld[0][0].offers[1]", "json_ld[0][0]", "C", "1", "EUR"),
+        ("no name", "json_ld[0].offers[0]", "json_ld[0]", None, "1", "EUR"),
+        ("object", "json_ld.offers[0]", "", "B", "1", "EUR"),
+        ("single", "json_ld[0].offers", "json_ld[0]", "D", "1", "EUR"),
+    ]
