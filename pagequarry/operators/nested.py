@@ -153,6 +153,16 @@ def _text(column: list) -> pa.Array:
         return pa.array([None if x is None else x.encode("utf-8", "replace").decode() for x in column], pa.string())
 
 
+def _records(df: DataFrame, record_id: str, document: str) -> DataFrame:
+    return df.select(F.col(record_id).alias("record_id"), F.col(document).alias("document")).where(F.col("document").isNotNull()).dropDuplicates(["record_id"])
+
+
+def _parsed(text: str | None) -> tuple:
+    """Whether a text is complete JSON, and its content."""
+    value = parse(text)
+    return value is not None or (text or "").strip(_SPACE) == "null", value
+
+
 def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bool = False) -> DataFrame:
     """Triples of every record: record_id and the columns that ``triples`` names.
 
@@ -161,7 +171,7 @@ def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bo
     as its content.  Of a key repeated in one object the last counts.  Numbers
     keep their spelling.  Other columns of ``df`` are not read.
     """
-    one = df.select(F.col(record_id).alias("record_id"), F.col(document).alias("document")).where(F.col("document").isNotNull()).dropDuplicates(["record_id"])
+    one = _records(df, record_id, document)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +185,8 @@ def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bo
                 )
 
             for i, text in enumerate(texts):
-                value = parse(text.as_py())
-                if value is None and (text.as_py() or "").strip(_SPACE) != "null":
+                complete, value = _parsed(text.as_py())
+                if not complete:
                     continue
                 before = len(rows)
                 rows.extend(triples(value, elements_only))
@@ -210,6 +220,69 @@ def pivot_table(all_triples: DataFrame, table_path: str, columns: list[str]) ->
     return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_{c}" if c in keys else c) for c in columns])
 
 
+def flat_rows(value) -> Iterator[tuple]:
+    """(table, node, parent, ordinal, kind, fields) per row of all flat tables of one parsed record.
+
+    The triples of an element, pivoted: fields has (value, kind) by column.
+    Two values that have the same path, as a key may hold a dot, are both
+    kept; the later one's column gets a leading '_'.
+    """
+    rows: dict[tuple, tuple] = {}
+    for table, node, parent, ordinal, column, text, kind in triples(value):
+        row = rows.setdefault((table, node), (table, node, parent, ordinal, kind, {}))
+        if column is not None:
+            while column in row[5]:
+                column = f"_{column}"
+            row[5][column] = (text, kind)
+    yield from rows.values()
+
+
+def flat_tables(df: DataFrame, record_id: str, document: str) -> DataFrame:
+    """Every flat table there is: a row per record (table_path '') and per array element.
+
+    record_id, table_path, node_path, parent_path, ordinal, kind of the
+    element, and fields: column -> (value, kind).  Tables and columns are
+    those of ``table_columns``, whatever they are called; a field that is null
+    has kind 'null', an absent one is not in the map.  All triples of an
+    element come from one record, so they are grouped where it is parsed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, rows, size = [], [], 0
+            ids, texts = batch.column(0), batch.column(1)
+
+            def flush():
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
+                ends, names, values, kinds = [0], [], [], []
+                for fields in columns[5]:
+                    names.extend(fields)
+                    for text, kind in fields.values():
+                        values.append(text)
+                        kinds.append(kind)
+                    ends.append(len(names))
+                cells = pa.StructArray.from_arrays([_text(values), pa.array(kinds, pa.string())], ["value", "kind"])
+                fields = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), _text(names), cells)
+                texts = [pa.array(c, pa.int32()) if i == 3 else _text(list(c)) for i, c in enumerate(columns[:5])]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), *texts, fields], ["record_id", "table_path", "node_path", "parent_path", "ordinal", "kind", "fields"])
+
+            for i, text in enumerate(texts):
+                complete, value = _parsed(text.as_py())
+                if not complete:
+                    continue
+                for row in flat_rows(value):
+                    rows.append(row)
+                    where.append(i)
+                    size += 1 + len(row[5])
+                if size > 100_000:
+                    yield flush()
+                    where, rows, size = [], [], 0
+            yield flush()
+
+    schema = "table_path string, node_path string, parent_path string, ordinal int, kind string, fields map<string, struct<value: string, kind: string>>"
+    return _records(df, record_id, document).mapInArrow(run, f"record_id {dict(df.dtypes)[record_id]}, {schema}")
+
+
 def _full_path():
     """node_path and column as one path; that of an element ends with a dot."""
     return F.ltrim(F.concat("node_path", F.lit("."), F.coalesce("column", F.lit(""))), F.lit("."))

@@ -53,6 +53,10 @@ def p7_columns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("table_path", "column", "n")
 
 
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_tables(table(spark, d, "crawled_urls"), "id", "seo_data").withColumnRenamed("record_id", "id")
+
+
 def p7_images(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.json_triples(table(spark, d, "crawled_urls"), "id", "seo_data")
     flat = nested.pivot_table(rows, "images[]", ["src", "alt", "width", "height"])
@@ -74,7 +78,7 @@ def p7_offers(spark: SparkSession, d: str) -> DataFrame:
     return _offers(staged(rows.where(needed), "nested-triples"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p7_found, p7_columns, p7_images, p7_offers)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p7_found, p7_columns, p7_tables, p7_images, p7_offers)}
 
 _TREE = """
 WITH RECURSIVE e AS (SELECT DISTINCT crawl_id, source_url AS c, target_url AS p FROM redirects),

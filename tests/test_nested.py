@@ -1,6 +1,6 @@
 import json
 
-from pagequarry.operators.nested import _parse_deep, elements, json_triples, parse, pivot_table, table_columns
+from pagequarry.operators.nested import _parse_deep, elements, flat_tables, json_triples, parse, pivot_table, table_columns
 from pagequarry.plans import structure
 
 
@@ -82,3 +82,47 @@ def test_offers_of_every_shape(spark, tmp_path):
         ("object", "json_ld.offers[0]", "", "B", "1", "EUR"),
         ("single", "json_ld[0].offers", "json_ld[0]", "D", "1", "EUR"),
     ]
+
+
+def test_all_flat_tables(spark):
+    docs = [
+        ("1", '{"t":"x","o":[{"p":1,"s":{"n":"S"},"ship":[{"rates":[{"v":2.50},{"v":null}]},{}]},7,[{"k":true}]]}'),
+        ("2", '{"o":{"p":"1"},"a.b":1,"a":{"b":2}}'),
+        ("3", '{"o":[{"p":"one"}]}'),
+        ("4", '{"broken":['),
+        ("5", "null"),
+        ("6", '[{"h":"\\ud800"}]'),
+    ]
+    frame_ = frame(spark, docs)
+    flat = flat_tables(frame_, "id", "doc").collect()
+    got = {(r.record_id, r.table_path, r.node_path): (r.parent_path, r.ordinal, r.kind, {k: tuple(v) for k, v in r.fields.items()}) for r in flat}
+    assert len(got) == len(flat)
+    assert got == {
+        ("1", "", ""): (None, 0, "object", {"t": ("x", "string")}),
+        ("1", "o[]", "o[0]"): ("", 0, "object", {"p": ("1", "number"), "s.n": ("S", "string")}),
+        ("1", "o[].ship[]", "o[0].ship[0]"): ("o[0]", 0, "object", {}),
+        ("1", "o[].ship[]", "o[0].ship[1]"): ("o[0]", 1, "object", {}),
+        ("1", "o[].ship[].rates[]", "o[0].ship[0].rates[0]"): ("o[0].ship[0]", 0, "object", {"v": ("2.50", "number")}),
+        ("1", "o[].ship[].rates[]", "o[0].ship[0].rates[1]"): ("o[0].ship[0]", 1, "object", {"v": (None, "null")}),
+        ("1", "o[]", "o[1]"): ("", 1, "number", {"value": ("7", "number")}),
+        ("1", "o[]", "o[2]"): ("", 2, "array", {}),
+        ("1", "o[][]", "o[2][0]"): ("", 0, "object", {"k": ("true", "boolean")}),
+        ("2", "", ""): (None, 0, "object", {"o.p": ("1", "string"), "a.b": ("1", "number"), "_a.b": ("2", "number")}),
+        ("3", "", ""): (None, 0, "object", {}),
+        ("3", "o[]", "o[0]"): ("", 0, "object", {"p": ("one", "string")}),
+        ("5", "", ""): (None, 0, "null", {"value": (None, "null")}),
+        ("6", "", ""): (None, 0, "array", {}),
+        ("6", "[]", "[0]"): ("", 0, "object", {"h": ("?", "string")}),
+    }
+
+
+def test_flat_tables_have_the_columns_of_table_columns(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/crawled_urls.parquet")
+    expected = {(r.table_path, r.column): (r.n, sorted(r.kinds)) for r in table_columns(json_triples(pages, "id", "seo_data")).collect()}
+    counts: dict = {}
+    for r in structure.p7_tables(spark, "/root/testdata/sf0.001").collect():
+        for column, cell in r.fields.items():
+            n, kinds = counts.setdefault((r.table_path, column), [0, set()])
+            counts[r.table_path, column][0] = n + 1
+            kinds.add(cell.kind)
+    assert {k: (n, sorted(kinds)) for k, (n, kinds) in counts.items()} == expected
