@@ -270,7 +270,7 @@ def shared_spans(documents: DataFrame, doc_id: str, text: str, least: int = LEAS
 
 
 def shared_shares(spans: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per document with a shared span: doc_id, chars, shared_chars, share; overlapping spans count once."""
+    """Per document: doc_id, chars, shared_chars, share; overlapping spans count once. Without a shared span (or text) the share is 0."""
     a = spans.select(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("end"))
     b = spans.select(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end"))
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -278,4 +278,6 @@ def shared_shares(spans: DataFrame, documents: DataFrame, doc_id: str, text: str
     new = one.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     covered = new.groupBy("doc_id").agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("shared_chars"))
     sizes = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.length(text).alias("chars")).dropDuplicates(["doc_id"])
-    return sizes.join(covered, "doc_id").select("doc_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
+    shared = sizes.join(covered, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+    share = F.when(F.col("shared_chars") > 0, F.round(F.col("shared_chars") / F.col("chars"), 6)).otherwise(F.lit(0.0))
+    return shared.select("doc_id", "chars", "shared_chars", share.alias("share"))

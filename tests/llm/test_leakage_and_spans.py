@@ -82,6 +82,14 @@ def test_no_spans(spark):
     assert ss.shared_spans(df, "n", "t").count() == 0 and ss.shared_spans(df.limit(0), "n", "t").count() == 0
 
 
+def test_shares_of_documents_without_spans(spark):
+    docs = spark.createDataFrame([(1, "a" * 500), (2, "xx" + "a" * 400), (3, "b" * 400), (4, "short"), (5, ""), (6, None), (3, "b" * 400)], "n long, t string")
+    spans = spark.createDataFrame([(1, 2, 0, 2, 400)], "doc_a long, doc_b long, start_a int, start_b int, length int")
+    expected = [(1, 500, 400, 0.8), (2, 402, 400, 0.995025), (3, 400, 0, 0.0), (4, 5, 0, 0.0), (5, 0, 0, 0.0), (6, None, 0, 0.0)]
+    assert sorted(tuple(r) for r in ss.shared_shares(spans, docs, "n", "t").collect()) == expected
+    assert sorted(tuple(r)[2:] for r in ss.shared_shares(spans.limit(0), docs, "n", "t").collect()) == [(0, 0.0)] * 6
+
+
 def test_marks_cover_every_window():
     rng = random.Random(3)
     for text in ("".join(rng.choices("abc", k=3000)), "a" * 900, "abc" * 400):
