@@ -243,10 +243,11 @@ def images(pages: DataFrame) -> DataFrame:
     return g.withColumn("alt_share", _share(C("images") - C("no_alt"), C("images"))).withColumn("per_page", F.round(C("images") / C("pages"), 1))
 
 
-def images_without_alt(pages: DataFrame, k: int = 100) -> DataFrame:
+def images_without_alt(pages: DataFrame, k: int | None = 100) -> DataFrame:
+    """The first ``k`` of each crawl by page and place; all of them where ``k`` is None."""
     p = with_document(pages.where(is_html())).select("crawl_id", "id", F.posexplode("images").alias("place", "i"))
     p = p.where(F.coalesce(F.trim(image_field(C("i"), "alt")), F.lit("")) == "").select("crawl_id", "id", "place", image_field(C("i"), "src").alias("src"))
-    return top_per(p, ["crawl_id"], [C("id"), C("place")], k)
+    return p if k is None else top_per(p, ["crawl_id"], [C("id"), C("place")], k)
 
 
 def accessibility(pages: DataFrame) -> DataFrame:

@@ -145,6 +145,7 @@ on_pages(
     + "n AS (SELECT crawl_id, id, place, i->>'$.src' AS src FROM e WHERE coalesce(trim(i->>'$.alt', ' '), '') = '') "
     + top("*", "n", "id, place", 100),
 )
+on_pages("images_without_alt_all", reports.images_without_alt, SQL["images_without_alt"].split(" QUALIFY ")[0], None)
 on_pages(
     "accessibility",
     reports.accessibility,

@@ -1,6 +1,6 @@
 import json
 
-from pagequarry.operators import rules
+from pagequarry.operators import reports, rules
 from pagequarry.operators.registry import ISSUES
 
 SCHEMA = (
@@ -74,3 +74,10 @@ def test_cross_page_rules(spark):
     assert sorted((r.url_id, r.target) for r in rules.pagination_unlinked(p, links).collect()) == [("b", "x")]
     assert sorted((r.url_id, r.target) for r in rules.pagination_not_in_anchor(p, links).collect()) == [("b", "c"), ("b", "x"), ("c", "b")]
     assert sorted((r.url_id, r.target, r.back) for r in rules.pagination_sequence(p).collect()) == [("a", "b", "x")]
+
+
+def test_all_images_without_alt(spark):
+    p = pages(spark, [{"id": i, "seo_data": json.dumps({"images": [{"src": f"{i}{n}"} for n in range(70)] + [{"src": "x", "alt": "a"}]})} for i in "ab"])
+    got = sorted((r.id, r.place, r.src) for r in reports.images_without_alt(p, None).collect())
+    assert got == [(i, n, f"{i}{n}") for i in "ab" for n in range(70)]
+    assert reports.images_without_alt(p).count() == 100
