@@ -127,15 +127,27 @@ def with_link_score(pages: DataFrame, scores: DataFrame) -> DataFrame:
     return pages.join(new, ["crawl_id", "id"], "left").withColumn("link_score", F.coalesce("_new", "link_score")).drop("_new")
 
 
-def crawl_order(pages: DataFrame, links: DataFrame, max_depth: int = 10) -> DataFrame:
-    """crawl_id, id, depth: the least number of links from a start page (crawl_depth 0), level by level."""
-    edges = staged(_edges(pages, links).select("crawl_id", "source", "target").distinct(), "order-links")
-    level = cut(pages.where("crawl_depth = 0").select("crawl_id", "id").distinct().withColumn("depth", F.lit(0)))
+def crawl_order(pages: DataFrame, links: DataFrame, max_depth: int | None = 10) -> DataFrame:
+    """crawl_id, id, depth: the least number of links from a start page (crawl_depth 0), level by level.
+
+    Pages further than ``max_depth`` are left out; None goes on until a level is empty.
+    """
+    start = F.bool_or(F.coalesce(C("crawl_depth") == 0, F.lit(False))).alias("start")
+    nodes = staged(pages.groupBy("crawl_id", "id").agg(start).withColumn("n", F.monotonically_increasing_id()), "order-pages")
+    # pages are numbered, so that a level moves two numbers a link and not three ids
+    numbered = pages.select("crawl_id", "id", "url_hash").join(nodes, ["crawl_id", "id"]).select("crawl_id", "url_hash", C("n").alias("id"))
+    sources = nodes.select("crawl_id", C("id").alias("source"), C("n").alias("from"))
+    edges = staged(_edges(numbered, links).join(sources, ["crawl_id", "source"]).select("from", C("target").alias("to")).distinct(), "order-links")
+    level = cut(nodes.where("start").select("n", F.lit(0).alias("depth")))
     reached = level
-    for depth in range(1, max_depth + 1):
-        seen = reached.select("crawl_id", "id")
-        level = cut(edges.join(level.withColumnRenamed("id", "source"), ["crawl_id", "source"]).select("crawl_id", C("target").alias("id")).distinct().join(seen, ["crawl_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        after = edges.join(level.select(C("n").alias("from")), "from").select(C("to").alias("n")).distinct()
+        level = cut(after.join(reached.select("n"), "n", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-    return reached
+        if depth % 10 == 0 and depth != max_depth:
+            reached = cut(reached)
+    return nodes.join(reached, "n").select("crawl_id", "id", "depth")

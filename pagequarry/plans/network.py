@@ -65,6 +65,14 @@ on_links(
     f"""WITH RECURSIVE {_EDGES}, d AS (SELECT DISTINCT crawl_id, source, target FROM edges), b(crawl_id, id, depth) AS (SELECT crawl_id, id, 0 FROM crawled_urls WHERE crawl_depth = 0 UNION
   SELECT d.crawl_id, d.target, b.depth + 1 FROM b JOIN d ON d.crawl_id = b.crawl_id AND d.source = b.id WHERE b.depth < 10) SELECT crawl_id, id, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY 1, 2""",
 )
+on_links(
+    "crawl_order_all",
+    links.crawl_order,
+    f"""WITH RECURSIVE {_EDGES}, d AS (SELECT DISTINCT crawl_id, source, target FROM edges), b(crawl_id, id, depth) USING KEY (crawl_id, id) AS (SELECT DISTINCT crawl_id, id, 0 FROM crawled_urls WHERE crawl_depth = 0 UNION
+  SELECT d.crawl_id, d.target, min(b.depth) + 1 FROM b JOIN d ON d.crawl_id = b.crawl_id AND d.source = b.id LEFT JOIN recurring.b r ON r.crawl_id = d.crawl_id AND r.id = d.target WHERE r.id IS NULL GROUP BY 1, 2)
+SELECT crawl_id, id, CAST(depth AS INTEGER) AS depth FROM b""",
+    max_depth=None,
+)
 
 
 def pagination_loops(spark, d):

@@ -82,6 +82,14 @@ def test_orphans_and_order(spark):
     assert [(r.source, r.target) for r in links.graph_edges(pages, rows, k=2).orderBy("source").collect()] == [("ca", "cb")] and links.graph_edges(pages, rows).count() == 3
 
 
+def test_order_of_a_deep_site(spark):
+    names = [f"{i:02}" for i in range(14)]
+    pages = spark.createDataFrame([page(x, crawl_depth=0 if x == "00" else 99) for x in names], PAGE)
+    rows = spark.createDataFrame([link(a, b) for a, b in zip(names, names[1:])] + [link("13", "05")], LINK)
+    assert {r.id: r.depth for r in links.crawl_order(pages, rows, max_depth=None).collect()} == {f"c{x}": int(x) for x in names}
+    assert links.crawl_order(pages, rows).count() == 11
+
+
 def test_compare(spark):
     crawls = spark.createDataFrame([("p", "x", "completed", 1), ("p", "y", "completed", 2), ("p", "z", "failed", 3), ("q", "w", "completed", 1)], "project_id string, id string, status string, completed_at int")
     pairs = compare.newest_pairs(crawls)
