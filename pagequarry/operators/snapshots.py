@@ -131,8 +131,9 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, snapshot: str, key:
     rows: one per record, with ``snapshot``, ``key``, the compared ``columns``
     and ``version``, columns whose greatest values say which of several rows
     of one key in one snapshot counts.  snapshots: from ``number_snapshots``.
-    dictionary: ordinals of earlier runs (``extend_ordinals``), built with the
-    same ``chunk`` counts; without one, ordinals are dealt here.
+    dictionary: ordinals of earlier runs (``extend_ordinals``); its keys keep
+    their chunk and ordinal however the series has grown, others are added
+    for this run.  Without one, ordinals are dealt here.
 
     Result: snapshot (the later one), key, change_type.  Values compare
     exactly, null equals null.  Rows with a null key or an unknown snapshot
@@ -154,7 +155,9 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, snapshot: str, key:
     if dictionary is None:
         placed = latest.withColumn("ordinal", F.dense_rank().over(Window.partitionBy("series", "chunk").orderBy("key")) - 1)
     else:
-        placed = latest.join(dictionary, ["series", "chunk", "key"])
+        known = dictionary.select("series", "key", F.col("chunk").alias("_known"))
+        latest = latest.join(known, ["series", "key"], "left").withColumn("chunk", F.coalesce("_known", "chunk")).drop("_known")
+        placed = latest.join(extend_ordinals(dictionary, latest), ["series", "chunk", "key"])
     names = [f"v{i}" for i in range(len(columns))]
     placed = placed.select("series", "chunk", "seq", "last", "key", "ordinal", *[F.col(f"_values.{n}").cast("string").alias(n) for n in names])
     changes = placed.groupBy("series", "chunk").applyInPandas(_compare(names), f"series {dict(snapshots.dtypes)['series']}, seq int, key {dict(rows.dtypes)[key]}, change_type string")

@@ -45,6 +45,16 @@ def test_dictionary_keeps_ordinals(spark):
     assert changes(spark, SNAPS, rows, dictionary=known) == [("s2", "a", "removed"), ("s2", "b", "added"), ("s3", "b", "removed")]
 
 
+def test_dictionary_lacks_keys_and_series_grew(spark):
+    keys = [f"k{i}" for i in range(12)]
+    rows = [(k, "s1", k, 1, "x", 1) for k in keys[:8]] + [(k, "s2", k, 2 if k == "k5" else 1, "x", 1) for k in keys[2:]]
+    known = extend_ordinals(None, spark.createDataFrame([("p", 0, k) for k in keys[:4]], "series string, chunk int, key string"))
+    expected = changes(spark, SNAPS, rows)
+    assert len(expected) == 17 and ("s2", "k5", "changed") in expected
+    for chunk in (3, 8192):
+        assert changes(spark, SNAPS, rows, chunk=chunk, dictionary=known) == expected
+
+
 def test_bitmaps_against_sets():
     rng = np.random.default_rng(1)
     for size, n in ((10, 3), (20000, 50), (20000, 9000), (70000, 100)):
