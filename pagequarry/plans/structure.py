@@ -9,22 +9,22 @@ from pagequarry.operators import hierarchy, nested, snapshots
 from pagequarry.session import staged, table
 
 
-def _redirect_tree(spark: SparkSession, d: str, with_path: bool) -> hierarchy.Hierarchy:
-    return hierarchy.resolve(table(spark, d, "redirects"), "crawl_id", "source_url", "target_url", with_path)
+def _redirect_tree(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+    return hierarchy.resolve(table(spark, d, "redirects"), "crawl_id", "source_url", "target_url")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _redirect_tree(spark, d, with_path=False).nodes
+    nodes = _redirect_tree(spark, d).nodes
     return nodes.select(F.col("scope").alias("crawl_id"), F.col("node").alias("url"), F.col("root").alias("root_url"), "depth")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _redirect_tree(spark, d, with_path=True).nodes
+    nodes = _redirect_tree(spark, d).nodes
     return nodes.select(F.col("scope").alias("crawl_id"), F.col("node").alias("url"), "depth", F.array_join(F.reverse("path"), " > ").alias("path"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _redirect_tree(spark, d, with_path=True).descendants()
+    pairs = _redirect_tree(spark, d).descendants()
     return pairs.select(F.col("scope").alias("crawl_id"), F.col("ancestor").alias("url"), F.col("descendant").alias("leads_here"), F.col("distance").alias("hops"))
 
 

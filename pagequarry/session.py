@@ -28,21 +28,41 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pag
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder of this machine is set once and used from then on.
+    Where a session on one machine names none, as in tests, a temporary folder
+    is set once and used from then on; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagequarry-"))
     return context.getCheckpointDir().get()
 
 
+_WORK: list[str] = []
+
+
 def work_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_work`` removes what is there."""
+    _WORK.append(f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _WORK[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Removes intermediate tables that nothing reads any more; gives an empty list."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return []
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this process; DataFrames that read them must not be used any more."""
+    discard(spark, _WORK)
+    _WORK.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
