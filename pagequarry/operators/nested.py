@@ -1,6 +1,6 @@
 """Deeply nested JSON records as related flat tables.
 
-Each record is parsed once into path-value-ordinal triples.  Paths that share
+Each record is stream-parsed into path-value-ordinal triples.  Paths that share
 their nearest repeated ancestor (array) belong to one table; every array
 element is one row of it and points to the row of the element around it.
 """
@@ -15,131 +15,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)', re.S)
-_SPACE = " \t\r\n"
+_SPACE = r"[ \t\r\n]*"
+_STRING = r'"([^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*)"'
+_VALUE = re.compile(rf"{_SPACE}(?:{_STRING}|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false)|(null)|(\{{)|(\[)){_SPACE}", re.S)
+_KEY = re.compile(rf"{_SPACE}{_STRING}{_SPACE}:", re.S)
+_BLANK = re.compile(_SPACE)
+_KINDS = (None, "string", "number", "boolean", "null", "object", "array")
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
+def _decoded(inside: str) -> str:
+    return json.loads(f'"{inside}"') if "\\" in inside else inside
 
 
-class _Number(str):
-    """A number as it was written."""
-
-
-_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
-
-
-def _parse_deep(text: str):
-    """A parser without recursion, for nesting the library's parser can't follow."""
-    pos, end, stack, state, key = 0, len(text.rstrip(_SPACE)), [], "value", None
-    root = None
-
-    def put(value):
-        nonlocal root
-        if not stack:
-            root = value
-        elif isinstance(stack[-1][0], dict):
-            stack[-1][0][stack[-1][1]] = value
-        else:
-            stack[-1][0].append(value)
-
-    while pos < end:
-        m = _TOKEN.match(text, pos)
-        if not m or state == "done":
-            raise ValueError("not JSON")
-        pos, t = m.end(), m.group(1)
-        if state in ("value", "value or ]") and t not in ("}", "]", ",", ":"):
-            if t in "{[":
-                value = {} if t == "{" else []
-                put(value)
-                stack.append([value, None])
-                state = "key or }" if t == "{" else "value or ]"
-                continue
-            put(_DECODER.decode(t))
-            state = "next" if stack else "done"
-        elif state in ("key or }", "key") and t[0] == '"':
-            key = _DECODER.decode(t)
-            m = _TOKEN.match(text, pos)
-            if not m or m.group(1) != ":":
-                raise ValueError("not JSON")
-            pos, stack[-1][1], state = m.end(), key, "value"
-        elif (t == "]" and state in ("value or ]", "next") and isinstance(stack[-1][0], list)) or (t == "}" and state in ("key or }", "next") and isinstance(stack[-1][0], dict)):
-            stack.pop()
-            state = "next" if stack else "done"
-        elif t == "," and state == "next":
-            state = "key" if isinstance(stack[-1][0], dict) else "value"
-        else:
-            raise ValueError("not JSON")
-    if state != "done":
-        raise ValueError("not JSON")
-    return root
-
-
-def parse(text: str | None):
-    """The content of a JSON text, None if it isn't complete JSON; a text encoded several times is decoded as often."""
-    value = text
-    try:
-        while isinstance(value, str) and not isinstance(value, _Number):
-            try:
-                value = _DECODER.decode(value)
-            except RecursionError:
-                value = _parse_deep(value)
-    except ValueError:
-        return None
-    return value
-
-
-def triples(value, elements_only: bool = False) -> Iterator[tuple]:
-    """(table, node, parent, ordinal, column, value, kind) of one parsed record.
+def triples(text: str) -> list[tuple]:
+    """(table, node, parent, ordinal, column, value, kind) of one JSON text, read once from front to end.
 
     table: the path without positions of the nearest array around the value, ''
     outside any.  node: the element's path with positions; parent: that of the
     nearest object around it that is itself an array element.  Each element
     has one triple with column null, whose kind says what it is; scalars below
     it follow, column being the path from the element ('value' for an element
-    that is a scalar).  elements_only: objects that are elements, nothing else.
+    that is a scalar).  Numbers keep their spelling.  Of a key repeated in one
+    object the last counts.  A text that is not complete JSON has no triples,
+    one encoded as JSON more than once has those of its content.
+
+    No tree is built and nothing recurses; what is kept besides the triples is
+    one entry per open bracket and the keys of open objects.
     """
-    # (value, path, table, node, the node's parent, parent of elements below, path within the node, ordinal)
-    stack = [(value, "", "", "", None, "", "", 0)]
-    if not elements_only:
-        yield "", "", None, 0, None, None, _kind(value)
-    while stack:
-        v, path, table, node, around, parent, within, ordinal = stack.pop()
-        if isinstance(v, dict):
-            for k, x in v.items():
-                if isinstance(x, dict | list):
-                    stack.append((x, f"{path}.{k}" if path else k, table, node, around, parent, f"{within}.{k}" if within else k, ordinal))
-                elif not elements_only:
-                    yield table, node, around, ordinal, f"{within}.{k}" if within else k, *_scalar(x)
-        elif isinstance(v, list):
-            below = f"{table}.{within}[]" if table and within else f"{table}[]" if table else f"{within}[]"
-            for i, x in enumerate(v):
-                at = f"{path}[{i}]"
-                if isinstance(x, dict):
-                    yield below, at, parent, i, None, None, "object"
-                    stack.append((x, at, below, at, parent, at, "", i))
-                    continue
-                if not elements_only:
-                    yield below, at, parent, i, None, None, _kind(x)
-                if isinstance(x, list):
-                    stack.append((x, at, below, at, parent, parent, "", i))
-                elif not elements_only:
-                    yield below, at, parent, i, "value", *_scalar(x)
-        elif not elements_only:
-            yield table, node, None, ordinal, "value", *_scalar(v)
-
-
-def _kind(x) -> str:
-    return "object" if isinstance(x, dict) else "array" if isinstance(x, list) else _scalar(x)[1]
-
-
-def _scalar(x) -> tuple[str | None, str]:
-    if x is None:
-        return None, "null"
-    if isinstance(x, bool):
-        return ("true" if x else "false"), "boolean"
-    return str(x), "number" if isinstance(x, _Number) else "string"
+    try:
+        return _events(text)
+    except ValueError:
+        return []
+
+
+def _events(text: str) -> list[tuple]:
+    rows: list = []
+    put, value_at, key_at, end = rows.append, _VALUE.match, _KEY.match, len(text)
+    stack: list[tuple] = []
+    in_object, keys, index, replaced = False, None, 0, False
+    path = table = node = within = below = key = ""
+    around, parent, ordinal, pos = None, "", 0, 0
+    while True:
+        m = value_at(text, pos)
+        if m is None:
+            raise ValueError("not JSON")
+        pos, which = m.end(), m.lastindex
+        kind = _KINDS[which]
+        value = _decoded(m.group(1)) if which == 1 else m.group(which) if which < 4 else None
+        if not stack:
+            if which == 1:
+                if pos != end:
+                    raise ValueError("not JSON")
+                return _events(value)  # encoded once more
+            put(("", "", None, 0, None, None, kind))
+            if which < 5:
+                put(("", "", None, 0, "value", value, kind))
+            inner = "", "", "", None, "", "", 0
+        elif in_object:
+            full = f"{within}.{key}" if within else key
+            if which < 5:
+                put((table, node, around, ordinal, full, value, kind))
+            else:
+                inner = f"{path}.{key}" if path else key, table, node, around, parent, full, ordinal
+        else:
+            at = f"{path}[{index}]"
+            put((below, at, parent, index, None, None, kind))
+            if which < 5:
+                put((below, at, parent, index, "value", value, kind))
+            else:
+                inner = at, below, at, parent, at if which == 5 else parent, "", index
+        if which >= 5:
+            stack.append((in_object, path, table, node, around, parent, within, ordinal, keys, index, below))
+            path, table, node, around, parent, within, ordinal = inner
+            in_object = which == 5
+            if in_object:
+                keys = {}
+            else:
+                index = 0
+                below = f"{table}.{within}[]" if table and within else f"{table}[]" if table else f"{within}[]"
+            if text[pos : pos + 1] != ("}" if in_object else "]"):
+                if in_object:
+                    m = key_at(text, pos)
+                    if m is None:
+                        raise ValueError("not JSON")
+                    pos, key = m.end(), _decoded(m.group(1))
+                    keys[key] = len(rows)
+                continue
+        while stack:
+            c = text[pos : pos + 1]
+            if c == ",":
+                pos += 1
+                break
+            if c != ("}" if in_object else "]"):
+                raise ValueError("not JSON")
+            pos = _BLANK.match(text, pos + 1).end()
+            in_object, path, table, node, around, parent, within, ordinal, keys, index, below = stack.pop()
+        if not stack:
+            if pos != end:
+                raise ValueError("not JSON")
+            return [r for r in rows if r is not None] if replaced else rows
+        if not in_object:
+            index += 1
+            continue
+        m = key_at(text, pos)
+        if m is None:
+            raise ValueError("not JSON")
+        pos, key = m.end(), _decoded(m.group(1))
+        if key in keys:  # what the key held before is void
+            a = keys.pop(key)
+            b = min((n for n in keys.values() if n > a), default=len(rows))
+            rows[a:b] = [None] * (b - a)
+            replaced = True
+        keys[key] = len(rows)
 
 
 _NAMES = ("table_path", "node_path", "parent_path", "ordinal", "column", "value", "kind")
@@ -157,19 +144,11 @@ def _records(df: DataFrame, record_id: str, document: str) -> DataFrame:
     return df.select(F.col(record_id).alias("record_id"), F.col(document).alias("document")).where(F.col("document").isNotNull()).dropDuplicates(["record_id"])
 
 
-def _parsed(text: str | None) -> tuple:
-    """Whether a text is complete JSON, and its content."""
-    value = parse(text)
-    return value is not None or (text or "").strip(_SPACE) == "null", value
-
-
-def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bool = False) -> DataFrame:
+def json_triples(df: DataFrame, record_id: str, document: str) -> DataFrame:
     """Triples of every record: record_id and the columns that ``triples`` names.
 
-    Rows with the same id are one record.  A document that is null, empty or
-    not complete JSON has no triples, one encoded as JSON more than once counts
-    as its content.  Of a key repeated in one object the last counts.  Numbers
-    keep their spelling.  Other columns of ``df`` are not read.
+    Rows with the same id are one record.  A document that is null or empty
+    has no triples.  Other columns of ``df`` are not read.
     """
     one = _records(df, record_id, document)
 
@@ -185,12 +164,9 @@ def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bo
                 )
 
             for i, text in enumerate(texts):
-                complete, value = _parsed(text.as_py())
-                if not complete:
-                    continue
-                before = len(rows)
-                rows.extend(triples(value, elements_only))
-                where.extend([i] * (len(rows) - before))
+                own = triples(text.as_py())
+                rows.extend(own)
+                where.extend([i] * len(own))
                 if len(rows) > 100_000:
                     yield flush()
                     where, rows = [], []
@@ -200,8 +176,9 @@ def json_triples(df: DataFrame, record_id: str, document: str, elements_only: bo
 
 
 def elements(df: DataFrame, record_id: str, document: str) -> DataFrame:
-    """One row per object that is an array element: record_id, table_path, node_path, parent_path ('' for none), ordinal."""
-    return json_triples(df, record_id, document, elements_only=True).select("record_id", "table_path", "node_path", "parent_path", "ordinal")
+    """One row per object that is an array element, from the flat tables: record_id, table_path, node_path, parent_path ('' for none), ordinal."""
+    rows = flat_tables(df, record_id, document).where((F.col("kind") == "object") & (F.col("table_path") != ""))
+    return rows.select("record_id", "table_path", "node_path", "parent_path", "ordinal")
 
 
 def table_columns(all_triples: DataFrame) -> DataFrame:
@@ -220,20 +197,22 @@ def pivot_table(all_triples: DataFrame, table_path: str, columns: list[str]) ->
     return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_{c}" if c in keys else c) for c in columns])
 
 
-def flat_rows(value) -> Iterator[tuple]:
-    """(table, node, parent, ordinal, kind, fields) per row of all flat tables of one parsed record.
+def flat_rows(text: str) -> Iterator[tuple]:
+    """(table, node, parent, ordinal, kind, fields) per row of all flat tables of one JSON text.
 
     The triples of an element, pivoted: fields has (value, kind) by column.
     Two values that have the same path, as a key may hold a dot, are both
     kept; the later one's column gets a leading '_'.
     """
     rows: dict[tuple, tuple] = {}
-    for table, node, parent, ordinal, column, text, kind in triples(value):
-        row = rows.setdefault((table, node), (table, node, parent, ordinal, kind, {}))
-        if column is not None:
-            while column in row[5]:
-                column = f"_{column}"
-            row[5][column] = (text, kind)
+    for table, node, parent, ordinal, column, value, kind in triples(text):
+        if column is None:
+            rows.setdefault((table, node), (table, node, parent, ordinal, kind, {}))
+            continue
+        fields = rows[table, node][5]
+        while column in fields:
+            column = f"_{column}"
+        fields[column] = (value, kind)
     yield from rows.values()
 
 
@@ -267,10 +246,7 @@ def flat_tables(df: DataFrame, record_id: str, document: str) -> DataFrame:
                 return pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), *texts, fields], ["record_id", "table_path", "node_path", "parent_path", "ordinal", "kind", "fields"])
 
             for i, text in enumerate(texts):
-                complete, value = _parsed(text.as_py())
-                if not complete:
-                    continue
-                for row in flat_rows(value):
+                for row in flat_rows(text.as_py()):
                     rows.append(row)
                     where.append(i)
                     size += 1 + len(row[5])

@@ -123,6 +123,11 @@ changes AS (
   WHERE o.status_code IS DISTINCT FROM n.status_code OR o.title IS DISTINCT FROM n.title)
 """
 
+#: Every node of every document: its number, its parent's, type, path and value.
+_NODES = r"""WITH doc0 AS (SELECT DISTINCT id, CASE WHEN json_valid(seo_data) THEN CAST(seo_data AS JSON) END AS j FROM crawled_urls),
+s AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS doc FROM doc0),
+t AS (SELECT s.id, t.id AS n, t.parent AS up, t.type, replace(regexp_replace(t.fullkey, '^\$\.?', ''), '"', '') AS p, t.value AS v FROM s, json_tree(s.doc) t WHERE s.doc IS NOT NULL)"""
+
 SQL = {
     "p3_found": _TREE + "SELECT crawl_id, u AS url, root AS root_url, CAST(depth AS INTEGER) AS depth FROM down UNION ALL SELECT crawl_id, u, '', depth FROM ends",
     "p3_paths": _TREE + "SELECT crawl_id, u AS url, CAST(depth AS INTEGER) AS depth, path FROM down UNION ALL SELECT crawl_id, u, depth, u FROM ends",
@@ -137,9 +142,21 @@ SELECT crawl_id, u AS url, s AS leads_here, CAST(hops AS INTEGER) AS hops FROM u
     "p4_summary": _CHANGES
     + """SELECT crawl_id, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed,
   count(*) FILTER (change_type = 'changed') AS changed FROM changes GROUP BY crawl_id""",
-    "p7_found": r"""WITH doc0 AS (SELECT DISTINCT id, CASE WHEN json_valid(seo_data) THEN CAST(seo_data AS JSON) END AS j FROM crawled_urls),
-s AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS doc FROM doc0),
-t AS (SELECT s.id, t.id AS n, t.parent AS up, t.type, replace(regexp_replace(t.fullkey, '^\$\.?', ''), '"', '') AS p FROM s, json_tree(s.doc) t WHERE s.doc IS NOT NULL),
-e AS MATERIALIZED (SELECT a.id, a.p AS node_path FROM t a JOIN t b ON b.id = a.id AND b.n = a.up WHERE a.type = 'OBJECT' AND b.type = 'ARRAY')
+    "p7_found": _NODES
+    + """, e AS MATERIALIZED (SELECT a.id, a.p AS node_path FROM t a JOIN t b ON b.id = a.id AND b.n = a.up WHERE a.type = 'OBJECT' AND b.type = 'ARRAY')
 SELECT e.id, e.node_path, coalesce((SELECT max_by(o.node_path, length(o.node_path)) FROM e o WHERE o.id = e.id AND length(o.node_path) < length(e.node_path) AND starts_with(e.node_path, o.node_path)), '') AS parent_path FROM e""",
+    "p7_columns": _NODES
+    + r""", leaf AS (SELECT p, regexp_extract(p, '^(.*\])', 1) AS e FROM t WHERE type NOT IN ('OBJECT', 'ARRAY'))
+SELECT regexp_replace(e, '\[\d+\]', '[]', 'g') AS table_path, CASE WHEN e = p THEN 'value' ELSE ltrim(substr(p, length(e) + 1), '.') END AS "column", count(*) AS n FROM leaf GROUP BY ALL""",
+    "p7_images": _NODES
+    + r""", i AS (SELECT id, p AS node_path, CAST(regexp_extract(p, '(\d+)\]$', 1) AS INTEGER) AS ordinal, v FROM t WHERE regexp_full_match(p, 'images\[\d+\]'))
+SELECT id, node_path, ordinal, v->>'$.src' AS src, v->>'$.alt' AS alt, v->>'$.width' AS width, v->>'$.height' AS height FROM i""",
+    "p7_offers": _NODES
+    + r""", o AS (SELECT id, p, v, type, regexp_replace(p, '((^|\.)offers(\[\d+\])*)+$', '') AS holder FROM t WHERE regexp_matches(p, '(^|\.)offers(\[\d+\])+$') AND type <> 'ARRAY'
+  OR regexp_matches(p, '(^|\.)offers$') AND type = 'OBJECT' AND v::VARCHAR <> '{}'),
+h AS (SELECT id, p, v->>'$.name' AS name FROM t WHERE type = 'OBJECT' AND json_type(v, '$.name') NOT IN ('OBJECT', 'ARRAY')),
+e AS (SELECT a.id, a.p FROM t a JOIN t b ON b.id = a.id AND b.n = a.up WHERE a.type = 'OBJECT' AND b.type = 'ARRAY')
+SELECT o.id, o.p AS node_path, coalesce((SELECT max_by(e.p, length(e.p)) FROM e WHERE e.id = o.id AND length(e.p) < length(o.p) AND starts_with(o.p, e.p)), '') AS parent_path,
+  h.name AS product, v->>'$.price' AS price, v->>'$.priceCurrency' AS currency
+FROM o LEFT JOIN h ON h.id = o.id AND h.p = o.holder""",
 }

@@ -1,6 +1,9 @@
 import json
 
-from pagequarry.operators.nested import _parse_deep, elements, flat_tables, json_triples, parse, pivot_table, table_columns
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pagequarry.operators.nested import elements, flat_tables, json_triples, pivot_table, table_columns, triples
 from pagequarry.plans import structure
 
 
@@ -36,24 +39,53 @@ def test_tables(spark):
 
 
 def test_very_deep_and_very_long(spark):
-    deep = '{"a":[' * 30000 + "1" + "]}" * 30000
-    assert len(found(spark, [("1", '{"x":[' + "[" * 5000 + "{}" + "]" * 5000 + "]}")])) == 1
-    assert parse(deep) is not None and parse(deep[:-1]) is None
-    long = json.dumps({"a": [{"v": "x" * 2_000_000}, {"n": 10**5000 if False else 1}]})
+    assert len(found(spark, [("1", '{"x":[' + "[" * 2000 + "{}" + "]" * 2000 + "]}")])) == 1
+    deep = '{"a":[' * 1000 + "1" + "]}" * 1000
+    assert len(triples(deep)) == 1002 and triples(deep[:-1]) == []
+    long = json.dumps({"a": [{"v": "x" * 2_000_000}, {"n": 1}]})
     assert len(found(spark, [("1", long)])) == 2
-    assert parse('{"n":' + "9" * 6000 + "}") == {"n": "9" * 6000}
-
-
-def test_own_parser_agrees_with_the_library():
-    good = ['{"a":[1,2.5e3,-0,"x\\n\\u00e9",true,false,null,{}]}', "[]", " [ 1 , 2 ] ", '"s"', "3", "{}", '{"a":{"b":[[],{}]}}']
-    for text in good:
-        assert json.dumps(_parse_deep(text)) == json.dumps(parse(text)) or isinstance(json.loads(text), str), text
-    for text in ["", "{", "[1,]", '{"a"}', '{"a":1,}', "1 2", "[1 2]", "}", '{"a":1]', "01", "nul", '"a\n"']:
-        try:
-            _parse_deep(text)
-        except ValueError:
-            continue
-        raise AssertionError(text)
+    assert triples('{"n":' + "9" * 6000 + "}")[1][5] == "9" * 6000
+
+
+def leaves(value, path=""):
+    """Path and text of every scalar, from the library's tree."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from leaves(v, f"{path}.{k}" if path else k)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from leaves(v, f"{path}[{i}]")
+    else:
+        yield path, value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(min_size=1, max_size=3), x, max_size=4), max_leaves=25), st.sampled_from([None, 1]), st.booleans())
+def test_triples_agree_with_the_library(value, indent, ascii):
+    if isinstance(value, str):
+        value = [value]
+    text = json.dumps(value, indent=indent, ensure_ascii=ascii)
+    got, kinds = [], {}
+    for table, node, _, _, column, scalar, kind in triples(text):
+        if column is None:
+            kinds[table, node] = kind
+        else:
+            whole = kinds[table, node] not in ("object", "array")
+            got.append((node if whole else f"{node}.{column}" if node else column, scalar))
+    assert sorted(map(repr, got)) == sorted(map(repr, leaves(value)))
+    assert triples(text[:-1]) == [] or not isinstance(value, dict | list)
+
+
+def test_what_is_not_json():
+    for text in ["", "{", "[1,]", '{"a"}', '{"a":1,}', "1 2", "[1 2]", "}", '{"a":1]', "01", "nul", '"a\n"', '["\\x"]', "[١]", "[1]]", "NaN", '{1:2}', '[,1]', "﻿{}"]:
+        assert triples(text) == [], text
+
+
+def test_repeated_keys():
+    doc = '{"a":[{"x":1},{"x":2}],"b":1,"a":{"c":[3]},"b":2,"k":{"z":1,"z":[{}]}}'
+    assert [(t, n, c, v) for t, n, _, _, c, v, _ in triples(doc)] == [
+        ("", "", None, None), ("a.c[]", "a.c[0]", None, None), ("a.c[]", "a.c[0]", "value", "3"), ("", "", "b", "2"), ("k.z[]", "k.z[0]", None, None),
+    ]
 
 
 def test_offers_of_every_shape(spark, tmp_path):
