@@ -131,6 +131,11 @@ canon AS (SELECT id, crawl_id, string_agg(v, '|' ORDER BY v) AS v FROM clean WHE
 kept AS (SELECT id, crawl_id, min(id) OVER (PARTITION BY crawl_id, v) AS keep_id FROM canon)
 """
 
+_LEAKS = r"""WITH i0 AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items), i AS (SELECT item_id, w, least(len(w), 12) AS n FROM i0 WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i)))"""
+
 SQL = {
     "p2_found": _COPIES + "SELECT keep_id, id AS copy_id FROM kept WHERE id <> keep_id",
     "p2_records": _COPIES + "SELECT crawl_id, keep_id, count(*) AS copies FROM kept GROUP BY crawl_id, keep_id",
@@ -142,11 +147,10 @@ SELECT count(*) AS records, count(*) - count(DISTINCT url_hash) AS repeats, CAST
   SELECT crawl_id, coalesce(lower(trim(split_part(content_type, ';', 1))), '') AS content_type, count(*) AS n
   FROM (SELECT DISTINCT id, crawl_id, content_type, response_time_ms FROM crawled_urls) WHERE response_time_ms IS NOT NULL GROUP BY ALL),
   (SELECT unnest([0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS p)""",
-    "p8_found": r"""WITH i0 AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items), i AS (SELECT item_id, w, least(len(w), 12) AS n FROM i0 WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i)))
-SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)""",
+    "p8_found": _LEAKS + " SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)",
+    "p8_items": _LEAKS
+    + """, n AS (SELECT item_id, count(*) AS total FROM iw GROUP BY item_id), f AS (SELECT doc_id, item_id, count(*) AS found FROM dw JOIN iw USING (n, g) GROUP BY ALL)
+SELECT item_id, count(*) AS documents, round(max(found / total), 6) AS most FROM f JOIN n USING (item_id) GROUP BY item_id""",
     "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300), g AS (SELECT DISTINCT doc_id, md5(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM d)),
 r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), m AS (SELECT doc_id, h FROM g JOIN r USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",

@@ -29,8 +29,8 @@ def test_leaks_against_plain_loop(spark):
     docs += [(100 + k, f"{sentence(20)}, {text.upper()}! {sentence(9)}") for k, (_, text) in enumerate(items[:20])] + [(500, None), (501, ""), (502, sentence(50000)), (100, docs[3][1])]
     d = spark.createDataFrame([(*x, "x") for x in docs], "n long, t string, item_id string")
     i = spark.createDataFrame([(*x, "x") for x in items], "k int, s string, doc_id string")
-    for size in (1 << 20, 700):  # one block, several blocks
-        got = {(r.doc_id, r.item_id): r.containment for r in leakage.leaks(d, i, "n", "t", "k", "s", item_bytes=size).collect()}
+    for size in (1 << 20, 200):  # one block, several blocks
+        got = {(r.doc_id, r.item_id): r.containment for r in leakage.leaks(d, i, "n", "t", "k", "s", block_keys=size).collect()}
         expected = plain_leaks(docs, [x for x in items if x[0] != 3])
         assert {k: round(v, 9) for k, v in got.items() if k[1] != 3} == {k: round(v, 9) for k, v in expected.items()}
     assert leakage.leaks(d.limit(0), i, "n", "t", "k", "s").count() == 0 and leakage.leaks(d, i.limit(0), "n", "t", "k", "s").count() == 0
