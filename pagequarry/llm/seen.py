@@ -3,7 +3,9 @@
 The stream is partitioned by key; its state, on disk (RocksDB) with
 checkpoints, holds one small entry per key, the earliest record, and never
 expires.  A key's records of one delivery are combined before the shuffle, so
-a key with a third of all rows sends one row per task.
+a key with a third of all rows sends one row per task.  Each micro-batch emits
+the answers for its records from what the state says of their keys; nothing of
+earlier deliveries is read again.
 """
 
 from __future__ import annotations
@@ -48,11 +50,15 @@ class SeenKeys:
         self.spark = spark
         self.path = path or work_path(spark, "seen-keys")
 
-    def _run(self, schema) -> None:
-        firsts = f"{self.path}/firsts"
+    def _run(self, arrival: str, schema, answers: str) -> None:
+        """One micro-batch: the state takes the part that has arrived, and its answers are written."""
+        rows = self.spark.read.schema(schema).parquet(arrival).select("id", F.col("key").isNotNull().alias("keyed"))
 
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.select("key", "first.at", "first.id").write.mode("overwrite").parquet(f"{firsts}/batch={number}")
+        def answer(touched: DataFrame, _: int) -> None:
+            # The state gives each key of this part its earliest record of all time. A record that isn't that one came after it.
+            first = touched.select(F.col("first.id").alias("id"), F.lit(True).alias("first")).distinct()
+            told = rows.join(first, "id", "left").select("id", (F.col("keyed") & F.col("first").isNull()).alias("repeat"))
+            told.write.mode("overwrite").parquet(answers)
 
         with _conf(self.spark, **{"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
             stream = self.spark.readStream.schema(schema).parquet(f"{self.path}/arrivals").where(F.col("key").isNotNull())
@@ -61,7 +67,7 @@ class SeenKeys:
                 earliest.writeStream.outputMode("update")
                 .option("checkpointLocation", f"{self.path}/checkpoint")
                 .trigger(availableNow=True)
-                .foreachBatch(keep)
+                .foreachBatch(answer)
                 .start()
             )
             query.awaitTermination()
@@ -90,18 +96,12 @@ class SeenKeys:
         for i in range(len(cuts) + 1):
             arrival = f"{self.path}/arrivals/from={landing.rsplit('-', 1)[-1]}-{i}"
             if _rename(self.spark, f"{landing}/part={i}", arrival):
-                self._run(named.schema)
-                parts.append(arrival)
+                parts.append(f"{landing}-answers/part={i}")
+                self._run(arrival, named.schema, parts[-1])
         if not parts:
             return named.select("id", F.lit(False).alias("repeat")).limit(0)
-        mine = self.spark.read.schema(named.schema).parquet(*parts)
-        firsts = self.spark.read.schema(named.select("key", "at", "id").schema).parquet(f"{self.path}/firsts/batch=*")
-        known = firsts.select("id").distinct().withColumn("first", F.lit(True))
-        return (
-            mine.groupBy("id").agg(F.max(F.col("key").isNotNull()).alias("keyed"))
-            .join(known, "id", "left")
-            .select("id", (F.col("keyed") & F.col("first").isNull()).alias("repeat"))
-        )
+        told = self.spark.read.schema(named.select("id", F.lit(False).alias("repeat")).schema).parquet(*parts)
+        return told.groupBy("id").agg(F.min("repeat").alias("repeat"))
 
 
 def repeats(rows: DataFrame, key: str, at: str, record_id: str, deliveries: int = DELIVERIES) -> DataFrame:
