@@ -1,11 +1,13 @@
 """Long exact spans shared between records.
 
 1. Winnowed character grams mark each text so that any span of the asked
-   length holds a mark; marks found in one text only can't belong to a shared
-   span.  What lies around the other marks are the regions to search.
+   length holds a mark.  A span goes on for half the rest of its length at
+   least, to the left or to the right of the mark; that stretch with the mark
+   is a seed.  Seeds found in one text only can't belong to a shared span;
+   what lies around the others are the regions to search.
 2. Regions are dealt to shards by text.  A shard holds a compressed FM-index:
    a wavelet matrix over the Burrows-Wheeler transform of its regions.
-3. Regions are streamed to the shards in which their marks occur.  Every span
+3. Regions are streamed to the shards in which their seeds occur.  Every span
    of the asked length covers one whole block of half that length; backward
    search takes all blocks of a stream at once, drops those that match nothing
    else and yields the places where the rest occur.
@@ -68,18 +70,30 @@ def marks(codes: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndar
     low = _sliding(h, width, np.minimum)
     edge = np.zeros(width - 1, dtype=np.uint64)
     chosen = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), width, np.maximum) == h)
-    picked = h[chosen]
-    repeat = np.flatnonzero((picked[1:] == picked[:-1]) & (np.diff(chosen) < _SPARE))
-    if repeat.size:  # periodic text: one mark for each _SPARE characters is enough
-        keep, last = np.ones(chosen.size, dtype=bool), {}
-        for i in range(chosen.size):
-            p, v = int(chosen[i]), int(picked[i])
-            if p - last.get(v, -_SPARE) < _SPARE:
-                keep[i] = False
-            else:
-                last[v] = p
-        chosen, picked = chosen[keep], picked[keep]
-    return chosen, picked
+    return chosen, h[chosen]
+
+
+def seeds(codes: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of marks and hashes of the seeds they belong to, one to the left and one to the right.
+
+    Of equal seeds that stand close together, as in periodic text, one is kept.
+    """
+    at, _ = marks(codes, least, gram)
+    h = _gram_hashes(codes, gram)
+    side = -(-(least - gram) // 2)
+    positions, values = [], []
+    for offsets in ([*range(-side, 0, gram), 0], [*range(0, side, gram), side]):
+        p = at[(at + offsets[0] >= 0) & (at + offsets[-1] < h.size)]
+        v = np.full(p.size, np.uint64(offsets[-1] + 1))
+        for o in offsets:
+            v = (v ^ h[p + o]) * _ODD[1]
+            v ^= v >> np.uint64(31)
+        if p.size and (v[1:] == v[:-1]).any():
+            _, one = np.unique(np.stack([v, (p // _SPARE).astype(np.uint64)]), axis=1, return_index=True)
+            p, v = p[np.sort(one)], v[np.sort(one)]
+        positions.append(p)
+        values.append(v)
+    return np.concatenate(positions), np.concatenate(values)
 
 
 class FMIndex:
@@ -87,6 +101,8 @@ class FMIndex:
 
     Suffixes are sorted by their first ``context`` characters or more: backward
     search only counts, so suffixes that agree that far may stand in any order.
+    That order has no walk back to sampled places, so every place is kept, in
+    four bytes.
     """
 
     def __init__(self, texts: list[np.ndarray], context: int):
@@ -94,8 +110,9 @@ class FMIndex:
         self.starts = np.cumsum([0] + [t.size + 1 for t in texts[:-1]])
         self.alphabet, symbols = np.unique(joined, return_inverse=True)
         self.n = joined.size
-        self.suffixes = self._sort(symbols.astype(np.int64), context)
-        self._wavelet(symbols[self.suffixes - 1].astype(np.int64))
+        suffixes = self._sort(symbols.astype(np.int64), context)
+        self._wavelet(symbols[suffixes - 1].astype(np.int64))
+        self.suffixes = suffixes.astype(np.int32 if self.n < 2**31 else np.int64)
         counts = np.bincount(symbols, minlength=self.alphabet.size)
         self.first = np.concatenate([[0], np.cumsum(counts)[:-1]]) - self._descend(np.zeros(self.alphabet.size, dtype=np.int64), np.arange(self.alphabet.size))
 
@@ -122,14 +139,18 @@ class FMIndex:
         self.levels = []
         for level in range(max(1, int(self.alphabet.size - 1).bit_length()) - 1, -1, -1):
             bit = (bwt >> level) & 1
-            padded = np.zeros((self.n // 64 + 1) * 64, dtype=np.uint8)
-            padded[: self.n] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]])
+            words, before = self._bits(bit)
             zeros = int(self.n - bit.sum())
             self.levels.append((level, words, before, zeros))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
 
+    def _bits(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Packed flags, and how many are set before each word."""
+        padded = np.zeros((self.n // 64 + 1) * 64, dtype=np.uint8)
+        padded[: self.n] = flags
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]])
+
     def _descend(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         for level, words, before, zeros in self.levels:
             w = at >> 6
@@ -155,10 +176,11 @@ class FMIndex:
                 break
         return lane, low, high
 
-    def places(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the text and position in it."""
-        text = np.searchsorted(self.starts, suffixes, side="right") - 1
-        return text, suffixes - self.starts[text]
+        at = self.suffixes[ranks].astype(np.int64)
+        text = np.searchsorted(self.starts, at, side="right") - 1
+        return text, at - self.starts[text]
 
 
 def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -185,7 +207,7 @@ def match_regions(index_side: pd.DataFrame, stream: pd.DataFrame, least: int) ->
     for a in range(0, lane.size, 20_000):
         n = (high - low)[a : a + 20_000]
         at = np.repeat(low[a : a + 20_000] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text, place = index.places(index.suffixes[at])
+        text, place = index.places(at)
         q = np.repeat(owner[lane[a : a + 20_000]], n)
         shift = place - np.repeat(inside[lane[a : a + 20_000]], n)
         other = (ids[text] != q_ids[q]) & (~home[q] | (ids[text] > q_ids[q]))
@@ -214,12 +236,12 @@ def shared_spans(documents: DataFrame, doc_id: str, text: str, least: int = LEAS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(ids, positions, hashes):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, positions, hashes)], ["doc_id", "position", "mark"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, positions, hashes)], ["doc_id", "position", "seed"])
 
         for batch in batches:
             ids, positions, hashes, size = [], [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p, h = marks(_codes(t.as_py()), least, gram)
+                p, h = seeds(_codes(t.as_py()), least, gram)
                 ids.append(np.full(p.size, i, dtype=np.int64))
                 positions.append(p.astype(np.int32))
                 hashes.append(h.view(np.int64))
@@ -230,10 +252,10 @@ def shared_spans(documents: DataFrame, doc_id: str, text: str, least: int = LEAS
             if ids:
                 yield one(ids, positions, hashes)
 
-    every = staged(docs.mapInArrow(mark, "doc_id bigint, position int, mark bigint"), "span-marks")
-    common = every.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") != F.col("b")).select("mark")
-    hits = staged(every.join(common, "mark"), "span-hits")
-    shards = max(1, -(-hits.count() * (least - gram) // (2 * shard_chars)))
+    every = staged(docs.mapInArrow(mark, "doc_id bigint, position int, seed bigint"), "span-seeds")
+    common = every.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") != F.col("b")).select("seed")
+    hits = staged(every.join(common, "seed"), "span-hits")
+    shards = max(1, -(-hits.count() * (least - gram) // (4 * shard_chars)))
     home = F.expr(f"cast(pmod(xxhash64(doc_id), {shards}) as int)")
 
     near = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("at"))
@@ -253,13 +275,13 @@ def shared_spans(documents: DataFrame, doc_id: str, text: str, least: int = LEAS
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.string())], ["doc_id", "start", "text"])
 
     regions = staged(docs.join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(cut_out, "doc_id bigint, start int, text string"), "span-regions")
-    homes = hits.select("mark", home.alias("shard")).distinct()
-    routes = hits.select("doc_id", "mark", home.alias("own")).join(homes, "mark").where(F.col("shard") >= F.col("own")).select("doc_id", "shard", (F.col("shard") == F.col("own")).alias("home")).distinct()
+    homes = hits.select("seed", home.alias("shard")).distinct()
+    routes = hits.select("doc_id", "seed", home.alias("own")).join(homes, "seed").where(F.col("shard") >= F.col("own")).select("doc_id", "shard", (F.col("shard") == F.col("own")).alias("home")).distinct()
     stream = staged(regions.join(routes, "doc_id"), "span-streams")
-    most = stream.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    lots = max(1, -(-most // stream_chars))
-    stream = stream.withColumn("lot", F.expr(f"cast(pmod(xxhash64(doc_id, 7), {lots}) as int)"))
-    held = regions.withColumn("shard", home).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    # A shard with a long stream is searched in several lots, each with its own copy of the index; the others are built once.
+    lots = stream.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / stream_chars).cast("int").alias("lots"))
+    stream = stream.join(lots, "shard").withColumn("lot", F.expr("cast(pmod(xxhash64(doc_id, 7), lots) as int)")).drop("lots")
+    held = regions.withColumn("shard", home).join(lots, "shard").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = np.array(match_regions(left, right, least), dtype=np.int64).reshape(-1, 5)

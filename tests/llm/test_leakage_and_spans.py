@@ -52,6 +52,10 @@ def corpus(rng, least):
     for i in range(30, 60):
         docs.append((i, text(rng.randrange(2 * least)) + rng.choice(shared) + text(rng.randrange(2 * least)) + rng.choice(shared)[rng.randrange(3) :]))
     period = "ab" * (2 * least)
+    once = text(2 * least)
+    gram = text(least // 3)  # the same gram twice within a span, and a third time outside it in one text only
+    twice = text(3) + gram + text(5) + gram + text(least - 2 * len(gram) - 8)
+    docs += [(60, once[:40] + twice + once[40:90]), (61, gram + text(2) + twice + text(70)), (62, text(90) + twice[: least - 1] + text(9))]
     docs += [(70, period), (71, "x" + period), (72, "a" * 3 * least), (73, text(50) + "a" * (least + 5)), (74, docs[40][1]), (75, docs[40][1]), (80, None), (81, ""), (70, period)]
     return docs
 
@@ -108,6 +112,6 @@ def test_index_against_plain_search():
     patterns = [t[i : i + 12] for t in texts for i in range(0, max(1, len(t) - 12), 7) if len(t) >= 12] + ["zzzzzzzzzzzz", "ababababaabb"]
     codes = np.concatenate([ss._codes(p) for p in patterns])
     lane, low, high = index.search(codes, np.arange(len(patterns)) * 12, 12, np.ones(len(patterns), dtype=int))
-    got = {patterns[i]: {tuple(map(int, p)) for p in zip(*index.places(index.suffixes[a:b]))} for i, a, b in zip(lane, low, high)}
+    got = {patterns[i]: {tuple(map(int, p)) for p in zip(*index.places(np.arange(a, b)))} for i, a, b in zip(lane, low, high)}
     expected = {p: {(j, k) for j, t in enumerate(texts) for k in range(len(t)) if t.startswith(p, k)} for p in patterns}
     assert got == {p: s for p, s in expected.items() if s}
