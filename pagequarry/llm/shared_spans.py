@@ -61,16 +61,14 @@ def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(a[:-rest], a[rest:]) if rest else a
 
 
-def marks(codes: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of grams that are the smallest of some window of ``least`` characters."""
+def marks(h: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Positions of grams whose hash is the smallest of some window of ``least`` characters."""
     width = least - gram + 1
-    h = _gram_hashes(codes, gram)
     if h.size < width:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64)
     low = _sliding(h, width, np.minimum)
     edge = np.zeros(width - 1, dtype=np.uint64)
-    chosen = np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), width, np.maximum) == h)
-    return chosen, h[chosen]
+    return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), width, np.maximum) == h)
 
 
 def seeds(codes: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +76,8 @@ def seeds(codes: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndar
 
     Of equal seeds that stand close together, as in periodic text, one is kept.
     """
-    at, _ = marks(codes, least, gram)
     h = _gram_hashes(codes, gram)
+    at = marks(h, least, gram)
     side = -(-(least - gram) // 2)
     positions, values = [], []
     for offsets in ([*range(-side, 0, gram), 0], [*range(0, side, gram), side]):
