@@ -94,5 +94,6 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def registry_sql() -> str:
-    rows = ", ".join(f"('{kind}', '{severity}', '{category}')" for category, some in ISSUES.items() for kind, severity, _ in some)
-    return f"(VALUES {rows}) AS registry(issue_type, severity, category)"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rows = ", ".join(f"('{kind}', '{severity}', '{category}', {quoted(text)})" for category, some in ISSUES.items() for kind, severity, text in some)
+    return f"(VALUES {rows}) AS registry(issue_type, severity, category, description)"

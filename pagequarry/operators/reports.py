@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
-from pagequarry.functions.common import buckets, content_class, is_html, ok, resource_class, status_class, top_per, whole
+from pagequarry.functions.common import buckets, content_class, is_html, ok, resource_class, seo_document, status_class, top_per, whole
 from pagequarry.functions.text import STOP_WORDS
-from pagequarry.operators.rules import image_field, with_document
+from pagequarry.operators.rules import heading_jumps, image_field, with_document
 
 C = F.col
 #: Upper bounds, not included, and labels.
@@ -53,19 +53,19 @@ def exact_duplicates(pages: DataFrame, content: Column, k: int = 50) -> DataFram
 
 
 def health(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """crawl_id, score, grade and the four parts: status (.3), indexability (.2), issues (.3), speed (.2)."""
+    """crawl_id, score, grade and the four parts: status (.3), indexability against pages that answered 2xx (.2), issues (.3), mean time of all timed pages (.2)."""
     p = pages.groupBy("crawl_id").agg(
-        F.count("*").alias("total"), F.count_if(ok()).alias("ok"), F.count_if(C("status_code") >= 400).alias("errors"), F.count_if("is_indexable").alias("indexable"), F.avg(F.when(ok(), C("response_time_ms"))).alias("ms")
+        F.count("*").alias("total"), F.count_if(ok()).alias("ok"), F.count_if(C("status_code") >= 400).alias("errors"), F.count_if("is_indexable").alias("indexable"), F.avg("response_time_ms").alias("ms")
     )
     i = issues.groupBy("crawl_id").agg(F.count_if(C("severity") == "critical").alias("critical"), F.count_if(C("severity") == "warning").alias("warnings"))
     both = p.join(i, "crawl_id", "left").na.fill(0, ["critical", "warnings"])
-    ms = F.coalesce("ms", F.lit(500.0))
+    ms = F.coalesce(F.nullif("ms", F.lit(0.0)), F.lit(500.0))
     speed = F.when(ms < 300, 100.0).when(ms < 1000, 100 - (ms - 300) / 700 * 50).when(ms < 3000, 50 - (ms - 1000) / 2000 * 40).otherwise(10.0)
     total, good = F.greatest(C("total"), F.lit(1)), F.greatest(C("ok"), F.lit(1))
     both = both.select(
         "crawl_id", "total", "errors", "critical", "warnings",
         (C("ok") / total * 100).alias("status_part"),
-        F.least(C("indexable") / good * 100, F.lit(100.0)).alias("index_part"),
+        (C("indexable") / good * 100).alias("index_part"),
         F.greatest(100 - F.least(C("critical") * 5.0, F.lit(50.0)) - F.least(C("warnings") * 1.0, F.lit(30.0)), F.lit(0.0)).alias("issue_part"),
         speed.alias("speed_part"),
     )
@@ -96,7 +96,12 @@ def slowest(pages: DataFrame, k: int = 20) -> DataFrame:
 
 def response_classes(pages: DataFrame) -> DataFrame:
     label = F.coalesce(buckets(C("response_time_ms"), *RESPONSE_CLASSES), F.lit("unknown"))
-    return pages.where(is_html()).groupBy("crawl_id", label.alias("bucket")).agg(F.count("*").alias("n"), F.min(F.coalesce("response_time_ms", F.lit(999999))).alias("least"))
+    ms = C("response_time_ms")
+    return pages.where(is_html()).groupBy("crawl_id", label.alias("bucket")).agg(F.count("*").alias("n"), whole(F.avg(ms)).alias("mean"), F.min(ms).alias("least"), F.max(ms).alias("most"))
+
+
+def slowest_html(pages: DataFrame, k: int = 20) -> DataFrame:
+    return slowest(pages.where(is_html()), k)
 
 
 def overview(pages: DataFrame) -> DataFrame:
@@ -146,12 +151,14 @@ def quick_wins(pages: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def keywords(pages: DataFrame, k: int = 50) -> DataFrame:
-    """crawl_id, word, n, weight, unique_words: words of titles and main headings of HTML pages that answered 2xx."""
+    """crawl_id, word, n, weight, unique_words, total_pages: words of titles and main headings of HTML pages that answered 2xx."""
     texts = F.concat(F.array(F.coalesce("title", F.lit(""))), F.coalesce("h1", F.array().cast("array<string>")))
-    found = pages.where(ok() & is_html()).select("crawl_id", F.explode(texts).alias("t")).select("crawl_id", F.explode(F.regexp_extract_all(F.lower("t"), F.lit("([a-z0-9฀-๿]+)"), F.lit(1))).alias("word"))
+    read = pages.where(ok() & is_html())
+    found = read.select("crawl_id", F.explode(texts).alias("t")).select("crawl_id", F.explode(F.regexp_extract_all(F.lower("t"), F.lit("([a-z0-9฀-๿]+)"), F.lit(1))).alias("word"))
     freq = found.where((F.length("word") > 1) & ~C("word").isin(STOP_WORDS)).groupBy("crawl_id", "word").agg(F.count("*").alias("n"))
     most = freq.groupBy("crawl_id").agg(F.max("n").alias("most"), F.count("*").alias("unique_words"))
-    return top_per(freq, ["crawl_id"], [C("n").desc(), C("word")], k).join(most, "crawl_id").select("crawl_id", "word", "n", F.round(C("n") / C("most"), 3).alias("weight"), "unique_words")
+    of = most.join(read.groupBy("crawl_id").agg(F.count("*").alias("total_pages")), "crawl_id")
+    return top_per(freq, ["crawl_id"], [C("n").desc(), C("word")], k).join(of, "crawl_id").select("crawl_id", "word", "n", F.round(C("n") / C("most"), 3).alias("weight"), "unique_words", "total_pages")
 
 
 def segments(pages: DataFrame) -> DataFrame:
@@ -164,7 +171,7 @@ def segments(pages: DataFrame) -> DataFrame:
 
 def content_quality(pages: DataFrame) -> DataFrame:
     words = F.coalesce("word_count", F.lit(0))
-    return pages.where(is_html()).groupBy("crawl_id", buckets(words, *WORD_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"), F.min(words).alias("least"))
+    return pages.where(is_html()).groupBy("crawl_id", buckets(words, *WORD_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"), F.min(words).alias("least"), whole(F.avg("word_count")).alias("mean_words"))
 
 
 def content_stats(pages: DataFrame) -> DataFrame:
@@ -185,7 +192,7 @@ def content_list(pages: DataFrame, k: int = 100) -> DataFrame:
 
 
 def depth_analysis(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("crawl_id", "crawl_depth").agg(
+    return pages.where(is_html()).groupBy("crawl_id", "crawl_depth").agg(
         F.count("*").alias("n"), F.count_if(ok()).alias("ok"), F.count_if(C("status_code") >= 400).alias("errors"), F.count_if("is_indexable").alias("indexable"), whole(F.avg("response_time_ms")).alias("mean_ms"), whole(F.avg("word_count")).alias("mean_words")
     )
 
@@ -193,8 +200,8 @@ def depth_analysis(pages: DataFrame) -> DataFrame:
 def readability(pages: DataFrame) -> DataFrame:
     """Averages over exact decimals, so that their rounding doesn't hang on the order of addition."""
     mean = lambda c, digits: F.round(F.avg(C(c).cast("decimal(12,4)")), digits).cast("double")
-    p = pages.where(is_html() & ok())
-    return p.groupBy("crawl_id").agg(F.count("readability_score").alias("scored"), mean("readability_score", 1).alias("score"), mean("text_ratio", 2).alias("ratio"), mean("avg_words_per_sentence", 1).alias("sentence"))
+    p = pages.where(is_html() & ok() & C("text_ratio").isNotNull())
+    return p.groupBy("crawl_id").agg(F.count("*").alias("total"), F.count("readability_score").alias("scored"), mean("readability_score", 1).alias("score"), mean("text_ratio", 2).alias("ratio"), mean("avg_words_per_sentence", 1).alias("sentence"))
 
 
 def ratio_buckets(pages: DataFrame) -> DataFrame:
@@ -224,46 +231,97 @@ def mobile(pages: DataFrame) -> DataFrame:
 
 
 def resources(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("crawl_id", resource_class().alias("kind")).agg(F.count("*").alias("n"), F.count_if(ok()).alias("ok"), F.count_if(C("status_code") >= 400).alias("errors"), F.round(F.avg("response_time_ms"), 1).alias("mean_ms"))
+    return pages.groupBy("crawl_id", resource_class().alias("kind")).agg(F.count("*").alias("n"), F.count_if(ok()).alias("ok"), F.count_if(C("status_code") >= 400).alias("errors"), whole(F.avg("response_time_ms")).alias("mean_ms"))
 
 
 def resource_list(pages: DataFrame, k: int = 300) -> DataFrame:
-    """Errors first, then the slow ones; unknown times last."""
+    """What has a type other than HTML: errors first, then the slow ones; unknown times last."""
     error = F.when(C("status_code") >= 400, 0).otherwise(1)
-    p = pages.select("crawl_id", "id", resource_class().alias("kind"), "status_code", "response_time_ms", error.alias("_e"))
+    p = pages.where(~is_html()).select("crawl_id", "id", resource_class().alias("kind"), "status_code", "response_time_ms", error.alias("_e"))
     return top_per(p, ["crawl_id"], [C("_e"), C("response_time_ms").desc_nulls_last(), C("id")], k).drop("_e")
 
 
+def _unset(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) == ""
+
+
+def _without_alt(images: str) -> Column:
+    return F.size(F.filter(images, lambda i: _unset(image_field(i, "alt"))))
+
+
 def images(pages: DataFrame) -> DataFrame:
-    """crawl_id, pages, images, no_alt, no_size, alt_share, per_page."""
-    p = with_document(pages.where(is_html())).select("crawl_id", F.coalesce("images", F.array().cast("array<variant>")).alias("images"))
-    no_alt = F.size(F.filter("images", lambda i: F.coalesce(F.trim(image_field(i, "alt")), F.lit("")) == ""))
-    no_size = F.size(F.filter("images", lambda i: image_field(i, "width").isNull() | image_field(i, "height").isNull()))
-    g = p.where(F.size("images") > 0).groupBy("crawl_id").agg(F.count("*").alias("pages"), F.sum(F.size("images")).alias("images"), F.sum(no_alt).alias("no_alt"), F.sum(no_size).alias("no_size"))
+    """crawl_id, pages, images, no_alt, no_size, alt_share, per_page, over pages of any type that have images."""
+    p = with_document(pages).select("crawl_id", F.coalesce("images", F.array().cast("array<variant>")).alias("images"))
+    no_size = F.size(F.filter("images", lambda i: _unset(image_field(i, "width")) | _unset(image_field(i, "height"))))
+    g = p.where(F.size("images") > 0).groupBy("crawl_id").agg(F.count("*").alias("pages"), F.sum(F.size("images")).alias("images"), F.sum(_without_alt("images")).alias("no_alt"), F.sum(no_size).alias("no_size"))
     return g.withColumn("alt_share", _share(C("images") - C("no_alt"), C("images"))).withColumn("per_page", F.round(C("images") / C("pages"), 1))
 
 
 def images_without_alt(pages: DataFrame, k: int | None = 100) -> DataFrame:
     """The first ``k`` of each crawl by page and place; all of them where ``k`` is None."""
-    p = with_document(pages.where(is_html())).select("crawl_id", "id", F.posexplode("images").alias("place", "i"))
-    p = p.where(F.coalesce(F.trim(image_field(C("i"), "alt")), F.lit("")) == "").select("crawl_id", "id", "place", image_field(C("i"), "src").alias("src"))
+    p = with_document(pages).select("crawl_id", "id", F.posexplode("images").alias("place", "i"))
+    p = p.where(_unset(image_field(C("i"), "alt"))).select("crawl_id", "id", "place", image_field(C("i"), "src").alias("src"))
     return p if k is None else top_per(p, ["crawl_id"], [C("id"), C("place")], k)
 
 
+def _skips() -> Column:
+    return F.size(heading_jumps(F.filter("levels", lambda x: x.rlike("^h[0-9]$")))) > 0
+
+
 def accessibility(pages: DataFrame) -> DataFrame:
+    """crawl_id, pages, images, no_alt, no_h1, several_h1, skipped (pages that skip a heading level), with_issues (pages with any of the three), alt_share."""
     p = with_document(pages.where(is_html() & ok())).withColumn("im", F.coalesce("images", F.array().cast("array<variant>")))
-    no_alt = F.size(F.filter("im", lambda i: F.coalesce(F.trim(image_field(i, "alt")), F.lit("")) == ""))
     n_h1 = F.size(F.coalesce("h1", F.array().cast("array<string>")))
-    g = p.groupBy("crawl_id").agg(F.count("*").alias("pages"), F.sum(F.size("im")).alias("images"), F.sum(no_alt).alias("no_alt"), F.count_if(n_h1 == 0).alias("no_h1"), F.count_if(n_h1 > 1).alias("several_h1"))
-    return g.withColumn("alt_share", _share(C("images") - C("no_alt"), C("images")))
+    skipped = F.coalesce(_skips(), F.lit(False))
+    g = p.groupBy("crawl_id").agg(
+        F.count("*").alias("pages"), F.sum(F.size("im")).alias("images"), F.sum(_without_alt("im")).alias("no_alt"), F.count_if(n_h1 == 0).alias("no_h1"), F.count_if(n_h1 > 1).alias("several_h1"),
+        F.count_if(skipped).alias("skipped"), F.count_if((n_h1 != 1) | skipped).alias("with_issues"),
+    )
+    return g.withColumn("alt_share", F.round((1 - C("no_alt") / F.greatest("images", F.lit(1))) * 100, 1))
+
+
+def _blocks(pages: DataFrame) -> DataFrame:
+    """HTML pages that answered 2xx with their JSON-LD array as ``blocks``."""
+    return with_document(pages.where(is_html() & ok())).withColumn("blocks", F.coalesce(F.try_variant_get("doc", "$.json_ld", "array<variant>"), F.array().cast("array<variant>")))
+
+
+def _type(block: Column) -> Column:
+    """The type of a block; several types joined, 'Unknown' for none."""
+    many = F.array_join(F.try_variant_get(block, "$['@type']", "array<string>"), ", ")
+    return F.coalesce(many, F.try_variant_get(block, "$['@type']", "string"), F.lit("Unknown"))
+
+
+def _is_object(block: Column) -> Column:
+    return F.schema_of_variant(block).startswith("OBJECT")
 
 
 def structured_types(pages: DataFrame) -> DataFrame:
-    """crawl_id, type, blocks: JSON-LD blocks by @type; several types of one block count each."""
-    p = with_document(pages)
-    blocks = F.coalesce(F.try_variant_get("doc", "$.json_ld", "array<variant>"), F.when(_document_field("json_ld").isNotNull(), F.array(F.try_variant_get("doc", "$.json_ld", "variant"))))
-    types = p.select("crawl_id", F.explode(blocks).alias("b")).select("crawl_id", F.explode(F.coalesce(F.try_variant_get("b", "$['@type']", "array<string>"), F.array(F.try_variant_get("b", "$['@type']", "string")))).alias("type"))
-    return types.where("type is not null").groupBy("crawl_id", "type").agg(F.count("*").alias("blocks"))
+    """crawl_id, type, blocks: JSON-LD objects of HTML pages that answered 2xx by their @type."""
+    b = _blocks(pages).select("crawl_id", F.explode("blocks").alias("b")).where(_is_object(C("b")))
+    return b.groupBy("crawl_id", _type(C("b")).alias("type")).agg(F.count("*").alias("blocks"))
+
+
+def structured_pages(pages: DataFrame) -> DataFrame:
+    """crawl_id, id, types, blocks, warnings: per HTML page with JSON-LD its types and what its objects lack, as texts."""
+    has = lambda b, f: ~F.coalesce(F.try_variant_get(b, f"$['{f}']", "string"), F.lit("")).isin("", "[]", "{}", "false", "0")
+
+    def lacks(b: Column) -> Column:
+        kind = _type(b)
+        tests = [F.when(~has(b, "@context"), F.concat(F.lit("Missing @context in "), kind))]
+        for name in sorted({f for some in REQUIRED.values() for f in some}):
+            tests.append(F.when(kind.isin([t for t, some in REQUIRED.items() if name in some]) & ~has(b, name), F.concat(F.lit(f"Missing {name} in "), kind)))
+        return F.array_compact(F.array(*tests))
+
+    p = _blocks(pages).where(F.size("blocks") > 0).withColumn("objects", F.filter("blocks", _is_object))
+    return p.select("crawl_id", "id", F.transform("objects", _type).alias("types"), F.size("blocks").alias("blocks"), F.flatten(F.transform("objects", lacks)).alias("warnings"))
+
+
+def structured_coverage(pages: DataFrame) -> DataFrame:
+    """crawl_id, html_pages, with_data, coverage, with_warnings: HTML pages that answered 2xx."""
+    every = pages.where(is_html() & ok()).groupBy("crawl_id").agg(F.count("*").alias("html_pages"))
+    some = structured_pages(pages).groupBy("crawl_id").agg(F.count("*").alias("with_data"), F.count_if(F.size("warnings") > 0).alias("with_warnings"))
+    both = every.join(some, "crawl_id", "left").na.fill(0, ["with_data", "with_warnings"])
+    return both.select("crawl_id", "html_pages", "with_data", _share(C("with_data"), C("html_pages")).alias("coverage"), "with_warnings")
 
 
 #: Fields each type should have.
@@ -307,9 +365,9 @@ def cookies(pages: DataFrame, k: int = 200) -> DataFrame:
 
 
 def redirect_chains(pages: DataFrame, k: int = 200) -> DataFrame:
-    p = pages.where((F.size("redirect_chain") > 0) | C("redirect_url").isNotNull() | C("status_code").between(300, 399))
+    p = pages.where(C("redirect_url").isNotNull())
     hops = F.greatest(F.size(F.coalesce("redirect_chain", F.array().cast("array<struct<url:string,status_code:int>>"))), F.lit(1))
-    return top_per(p.select("crawl_id", "id", "url", "status_code", hops.alias("hops")), ["crawl_id"], [C("hops").desc(), C("url"), C("id")], k)
+    return top_per(p.select("crawl_id", "id", "url", "status_code", "redirect_url", hops.alias("hops")), ["crawl_id"], [C("hops").desc(), C("url"), C("id")], k)
 
 
 def hreflang(pages: DataFrame) -> DataFrame:
@@ -322,13 +380,28 @@ def link_scores(pages: DataFrame, k: int = 100) -> DataFrame:
     return top_per(p, ["crawl_id"], [C("link_score").desc(), C("id")], k)
 
 
+def _pdfs(pages: DataFrame) -> DataFrame:
+    return pages.where(F.lower("content_type").like("%pdf%") | C("url").like("%.pdf%"))
+
+
 def pdf_audit(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """PDF documents with their inlinks and what is wrong: no title, error, slow."""
-    p = pages.where(F.lower("content_type").like("%pdf%")).select("crawl_id", "id", "url", "url_hash", "title", "status_code", "response_time_ms")
-    into = links.join(p.select("crawl_id", C("url_hash").alias("target_url_hash")).distinct(), ["crawl_id", "target_url_hash"], "left_semi").groupBy("crawl_id", "target_url_hash").agg(F.count("*").alias("inlinks"))
-    wrong = F.array_compact(F.array(F.when(F.coalesce("title", F.lit("")) == "", F.lit("no title")), F.when(C("status_code") >= 400, F.lit("error")), F.when(C("response_time_ms") > 5000, F.lit("slow"))))
-    joined = p.join(into.withColumnRenamed("target_url_hash", "url_hash"), ["crawl_id", "url_hash"], "left")
-    return joined.select("crawl_id", "id", "url", F.coalesce("inlinks", F.lit(0)).alias("inlinks"), F.array_join(wrong, ", ").alias("wrong"))
+    """PDF documents by type or address: crawl_id, id, url, status_code, size_bytes, size_kb, pdf_title, inlinks, issues (no title, over 5 MiB, error, slow)."""
+    p = _pdfs(pages).withColumn("doc", seo_document())
+    size = F.coalesce(F.try_variant_get("doc", "$.content_length", "bigint"), F.lit(0))
+    name = F.coalesce(F.nullif(_document_field("pdf_title"), F.lit("")), F.nullif("title", F.lit("")))
+    p = p.select("crawl_id", "id", "url", "status_code", "response_time_ms", size.alias("size_bytes"), F.round(size / 1024, 1).alias("size_kb"), name.alias("pdf_title"))
+    into = links.join(p.select("crawl_id", C("url").alias("target_url")).distinct(), ["crawl_id", "target_url"], "left_semi").groupBy("crawl_id", C("target_url").alias("url")).agg(F.count("*").alias("inlinks"))
+    wrong = [("missing_title", C("pdf_title").isNull()), ("large_file", C("size_bytes") > 5 * 1024 * 1024), ("broken", C("status_code") >= 400), ("slow", C("response_time_ms") > 5000)]
+    issues = F.array_join(F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in wrong])), ", ")
+    joined = p.join(into, ["crawl_id", "url"], "left")
+    return joined.select("crawl_id", "id", "url", "status_code", "size_bytes", "size_kb", "pdf_title", F.coalesce("inlinks", F.lit(0)).alias("inlinks"), issues.alias("issues"))
+
+
+def pdf_inlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """crawl_id, target_url, source_url, anchor_text: the links to PDF documents."""
+    targets = _pdfs(pages).select("crawl_id", C("url").alias("target_url")).distinct()
+    source = pages.select("crawl_id", C("id").alias("source_url_id"), C("url").alias("source_url"))
+    return links.join(targets, ["crawl_id", "target_url"], "left_semi").join(source, ["crawl_id", "source_url_id"]).select("crawl_id", "target_url", "source_url", "anchor_text")
 
 
 def site_structure(pages: DataFrame) -> DataFrame:

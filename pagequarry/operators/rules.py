@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
-from pagequarry.functions.common import field, is_html, seo_document
+from pagequarry.functions.common import field, is_html, ok, seo_document
 from pagequarry.functions.text import pixel_width
 from pagequarry.operators.registry import registry
 from pagequarry.session import staged
@@ -39,21 +39,66 @@ def _filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def heading_jump(levels: str = "levels") -> Column:
-    """Whether a heading goes down more than one level at once."""
-    return F.expr(
-        f"exists(sequence(1, greatest(size({levels}) - 1, 1)), i -> size({levels}) > 1 and "
-        f"cast(substring({levels}[i], 2, 1) as int) - cast(substring({levels}[i - 1], 2, 1) as int) > 1)"
-    )
+#: The security headers that pages are checked for, as seo_data names them.
+HEADERS = {"missing_hsts": "strict_transport_security", "missing_csp": "content_security_policy", "missing_x_content_type_options": "x_content_type_options", "missing_x_frame_options": "x_frame_options"}
+#: Fixed value: widest title in pixels.
+TITLE_PIXELS = 580
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """What the rules read of each page, its JSON parsed once; small enough to be stored."""
+    p = with_document(pages)
+    images = F.transform("images", lambda i: F.struct(*[image_field(i, n).alias(n) for n in ("src", "alt", "width", "height")]))
+    return p.select(
+        "crawl_id", "id", "url", "url_hash", "status_code", "content_type", "title", "meta_description", "h1", "canonical_url", "robots_meta", "is_indexable", "indexability_reason", "word_count",
+        "title_count", "meta_desc_count", "canonical_count", "robots_meta_tag_count", "x_robots_tag", "levels", "rel_next", "rel_prev", "next_count", "prev_count",
+        images.alias("images"), F.transform("mixed", lambda x: F.try_variant_get(x, "$", "string")).alias("mixed"),
+        *[field(f"$.security_headers.{name}", "string").alias(name) for name in HEADERS.values()],
+    )
+
+
+def _facts(pages: DataFrame) -> DataFrame:
+    return pages if "levels" in pages.columns else page_facts(pages)
+
+
+def details(**values) -> Column:
+    """A map of texts; what is null becomes ''."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))])
+
+
+def details_text(c: Column | str = "details") -> Column:
+    """The entries of a map by key, as 'key=value; key=value'; '' for none."""
+    entries = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.coalesce(F.array_join(entries, "; "), F.lit(""))
+
+
+def _no_details() -> Column:
+    return F.lit(None).cast("map<string,string>")
+
+
+def _level(tag: Column) -> Column:
+    """The number of a heading tag, null for anything else."""
+    return F.regexp_replace(tag, "^[hH]+", "").try_cast("int")
+
+
+def heading_jumps(levels: Column) -> Column:
+    """Pairs of neighbours of which the second is more than one level below the first; what is no heading tag makes no pair."""
+    pairs = F.arrays_zip(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))).alias("a"), F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))).alias("b"))
+    return F.filter(pairs, lambda x: F.coalesce(_level(x["b"]) - _level(x["a"]) > 1, F.lit(False)))
+
+
+def jump_text(pair: Column) -> Column:
+    return F.concat(pair["a"], F.lit(" -> "), pair["b"])
 
 
 def page_issues(pages: DataFrame) -> DataFrame:
-    """crawl_id, url_id, issue_type: issues of each page by itself; an image rule gives a row for each image.
+    """crawl_id, url_id, issue_type, details: issues of each page by itself; an image rule gives a row for each image.
 
     Content rules need a title or words; URL and security rules look at every
     row; pagination rules need an HTML page with a next or previous page.
+    details is a map that says what was found, null where the type says it all.
     """
-    p = with_document(pages)
+    p = _facts(pages)
     c = F.col
     title, description, canonical, url = c("title"), c("meta_description"), c("canonical_url"), c("url")
     no_title, no_description = ~_filled(F.coalesce(title, F.lit(""))), ~_filled(F.coalesce(description, F.lit("")))
@@ -63,61 +108,64 @@ def page_issues(pages: DataFrame) -> DataFrame:
     nofollow = F.array_contains(robots, "nofollow") | F.array_contains(robots, "none")
     checked = ~(~c("is_indexable") & F.coalesce(c("indexability_reason").isin("redirect", "client_error", "server_error", "non_html"), F.lit(False)))
     path, paged = urls.path(url), is_html() & (_filled(c("rel_next")) | _filled(c("rel_prev")))
-    header = lambda name: F.coalesce(field(f"$.security_headers.{name}", "string"), F.lit("")) == ""
     slash = lambda x: F.lower(F.regexp_replace(x, "/+$", ""))
+    long_h1 = F.get(F.filter(h1, lambda x: F.length(x) > 70), F.lit(0))
+    jumps, query, pixels = heading_jumps(c("levels")), urls.query(url), pixel_width(title)
+    directives = details(directives=F.array_join(robots, ", "))
 
     content = [
-        ("missing_title", no_title),
-        ("multiple_titles", ~no_title & (c("title_count") > 1)),
-        ("title_too_long", ~no_title & (F.length(title) > 60)),
-        ("title_too_short", ~no_title & (F.length(title) < 30)),
-        ("title_pixel_too_wide", ~no_title & (pixel_width(title) > 580)),
-        ("title_same_as_h1", ~no_title & (F.size(h1) > 0) & (F.lower(F.trim(title)) == F.lower(F.trim(F.get(h1, F.lit(0)))))),
-        ("missing_meta_description", no_description),
-        ("multiple_meta_descriptions", ~no_description & (c("meta_desc_count") > 1)),
-        ("meta_description_too_long", ~no_description & (F.length(description) > 155)),
-        ("meta_description_too_short", ~no_description & (F.length(description) < 70)),
-        ("missing_h1", F.size(h1) == 0),
-        ("multiple_h1", F.size(h1) > 1),
-        ("h1_too_long", F.exists(h1, lambda x: F.length(x) > 70)),
-        ("non_sequential_headings", heading_jump()),
-        ("missing_canonical", checked & ~_filled(F.coalesce(canonical, F.lit("")))),
-        ("multiple_canonicals", checked & _filled(canonical) & (c("canonical_count") > 1)),
-        ("self_referencing_canonical", checked & _filled(canonical) & (slash(canonical) == slash(url))),
-        ("has_noindex_nofollow", noindex & nofollow),
-        ("has_noindex", noindex & ~nofollow),
-        ("has_nofollow", nofollow & ~noindex),
-        ("multiple_robots_meta", c("robots_meta_tag_count") > 1),
-        ("has_x_robots_tag", _filled(c("x_robots_tag"))),
+        ("missing_title", no_title, None),
+        ("multiple_titles", ~no_title & (c("title_count") > 1), details(count=c("title_count"))),
+        ("title_too_long", ~no_title & (F.length(title) > 60), details(length=F.length(title), title=F.substring(title, 1, 100))),
+        ("title_too_short", ~no_title & (F.length(title) < 30), details(length=F.length(title), title=title)),
+        ("title_pixel_too_wide", ~no_title & (pixels > TITLE_PIXELS), details(limit=F.lit(TITLE_PIXELS), pixel_width=pixels.cast("int"))),
+        ("title_same_as_h1", ~no_title & (F.size(h1) > 0) & (F.lower(F.trim(title)) == F.lower(F.trim(F.get(h1, F.lit(0))))), None),
+        ("missing_meta_description", no_description, None),
+        ("multiple_meta_descriptions", ~no_description & (c("meta_desc_count") > 1), details(count=c("meta_desc_count"))),
+        ("meta_description_too_long", ~no_description & (F.length(description) > 155), details(length=F.length(description))),
+        ("meta_description_too_short", ~no_description & (F.length(description) < 70), details(length=F.length(description))),
+        ("missing_h1", F.size(h1) == 0, None),
+        ("multiple_h1", F.size(h1) > 1, details(count=F.size(h1), h1s=F.array_join(F.transform(h1, lambda x: F.substring(x, 1, 100)), " | "))),
+        ("h1_too_long", long_h1.isNotNull(), details(h1=F.substring(long_h1, 1, 100), length=F.length(long_h1))),
+        ("non_sequential_headings", F.size(jumps) > 0, details(sequence=F.array_join(F.slice("levels", 1, 20), ", "), skip_at=jump_text(F.get(jumps, F.lit(0))))),
+        ("missing_canonical", checked & ~_filled(F.coalesce(canonical, F.lit(""))), None),
+        ("multiple_canonicals", checked & _filled(canonical) & (c("canonical_count") > 1), details(count=c("canonical_count"))),
+        ("self_referencing_canonical", checked & _filled(canonical) & (slash(canonical) == slash(url)), None),
+        ("has_noindex_nofollow", noindex & nofollow, directives),
+        ("has_noindex", noindex & ~nofollow, directives),
+        ("has_nofollow", nofollow & ~noindex, directives),
+        ("multiple_robots_meta", c("robots_meta_tag_count") > 1, details(count=c("robots_meta_tag_count"))),
+        ("has_x_robots_tag", _filled(c("x_robots_tag")), details(value=c("x_robots_tag"))),
     ]
+    mixed = F.coalesce(c("mixed"), F.array().cast("array<string>"))
+    pagination = details(next_count=F.coalesce("next_count", F.lit(0)), prev_count=F.coalesce("prev_count", F.lit(0)))
     always = [
-        ("url_too_long", F.length(url) > 115),
-        ("url_non_ascii", url.rlike("[^\\x00-\\x7F]")),
-        ("url_has_underscores", F.contains(path, F.lit("_"))),
-        ("url_has_uppercase", path != F.lower(path)),
-        ("url_has_parameters", urls.query(url) != ""),
-        ("url_has_multiple_slashes", F.contains(path, F.lit("//"))),
-        ("http_url", url.startswith("http://")),
-        ("mixed_content", F.size(F.coalesce(c("mixed"), F.array().cast("array<variant>"))) > 0),
-        ("missing_hsts", header("strict_transport_security")),
-        ("missing_csp", header("content_security_policy")),
-        ("missing_x_content_type_options", header("x_content_type_options")),
-        ("missing_x_frame_options", header("x_frame_options")),
-        ("multiple_pagination_urls", paged & ((c("next_count") > 1) | (c("prev_count") > 1))),
-        ("non_indexable_paginated", paged & ~c("is_indexable")),
+        ("url_too_long", F.length(url) > 115, details(length=F.length(url))),
+        ("url_non_ascii", url.rlike("[^\\x00-\\x7F]"), None),
+        ("url_has_underscores", F.contains(path, F.lit("_")), None),
+        ("url_has_uppercase", path != F.lower(path), None),
+        ("url_has_parameters", query != "", details(query=F.substring(query, 1, 100))),
+        ("url_has_multiple_slashes", F.contains(path, F.lit("//")), None),
+        ("http_url", url.startswith("http://"), None),
+        ("mixed_content", F.size(mixed) > 0, details(count=F.size(mixed), urls=F.array_join(F.slice(mixed, 1, 5), ", "))),
+        *[(kind, F.coalesce(c(name), F.lit("")) == "", None) for kind, name in HEADERS.items()],
+        ("multiple_pagination_urls", paged & ((c("next_count") > 1) | (c("prev_count") > 1)), pagination),
+        ("non_indexable_paginated", paged & ~c("is_indexable"), details(reason=c("indexability_reason"))),
     ]
-    blank = lambda x: F.coalesce(F.trim(image_field(x, "alt")), F.lit("")) == ""
+    unset = lambda x: F.coalesce(x, F.lit("")) == ""
+    src = lambda x: F.substring(F.coalesce(x["src"], F.lit("")), 1, 200)
     per_image = [
-        ("missing_alt_text", blank),
-        ("alt_text_too_long", lambda x: F.length(image_field(x, "alt")) > 125),
-        ("missing_image_dimensions", lambda x: image_field(x, "width").isNull() | image_field(x, "height").isNull()),
+        ("missing_alt_text", lambda x: unset(F.trim(x["alt"])), lambda x: details(src=src(x))),
+        ("alt_text_too_long", lambda x: F.length(x["alt"]) > 125, lambda x: details(alt_length=F.length(x["alt"]), src=src(x))),
+        ("missing_image_dimensions", lambda x: unset(x["width"]) | unset(x["height"]), lambda x: details(src=src(x))),
     ]
     gate = _filled(title) | (c("word_count") > 0)
-    images = F.when(gate, c("images"))
-    none = F.array().cast("array<string>")
-    once = F.array_compact(F.array(*[F.when(gate & test, F.lit(kind)) for kind, test in content], *[F.when(test, F.lit(kind)) for kind, test in always]))
-    many = [F.coalesce(F.array_repeat(F.lit(kind), F.size(F.filter(images, test))), none) for kind, test in per_image]
-    return p.select("crawl_id", c("id").alias("url_id"), F.explode(F.concat(once, *many)).alias("issue_type"))
+    images = F.coalesce(F.when(gate, c("images")), F.array().cast("array<struct<src:string,alt:string,width:string,height:string>>"))
+    issue = lambda kind, more: F.struct(F.lit(kind).alias("issue_type"), (_no_details() if more is None else more).alias("details"))
+    once = F.array_compact(F.array(*[F.when(gate & test, issue(kind, more)) for kind, test, more in content], *[F.when(test, issue(kind, more)) for kind, test, more in always]))
+    each = lambda kind, more: lambda x: issue(kind, more(x))
+    many = [F.transform(F.filter(images, test), each(kind, more)) for kind, test, more in per_image]
+    return p.select("crawl_id", c("id").alias("url_id"), F.explode(F.concat(once, *many)).alias("i")).select("crawl_id", "url_id", "i.issue_type", "i.details")
 
 
 def indexability_issues(pages: DataFrame) -> DataFrame:
@@ -148,11 +196,11 @@ def duplicate_values(pages: DataFrame) -> DataFrame:
 
 
 def broken_links(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """crawl_id, url_id (of the linking page), target_url, status_code, issue_type: one row per internal link to a page that answered 400 or more."""
+    """crawl_id, url_id (of the linking page), target_url, status_code, anchor_text, issue_type: one row per internal link to a page that answered 400 or more."""
     bad = pages.where(F.col("status_code") >= 400).select("crawl_id", F.col("url_hash").alias("target_url_hash"), "status_code")
     return (
         links.where(F.col("link_type") == "internal").join(bad, ["crawl_id", "target_url_hash"])
-        .select("crawl_id", F.col("source_url_id").alias("url_id"), "target_url", "status_code", F.when(F.col("status_code") >= 500, "broken_link_5xx").otherwise("broken_link_4xx").alias("issue_type"))
+        .select("crawl_id", F.col("source_url_id").alias("url_id"), "target_url", "status_code", "anchor_text", F.when(F.col("status_code") >= 500, "broken_link_5xx").otherwise("broken_link_4xx").alias("issue_type"))
     )
 
 
@@ -165,7 +213,7 @@ def canonical_targets(pages: DataFrame) -> DataFrame:
 
 def pagination_refs(pages: DataFrame) -> DataFrame:
     """crawl_id, url_id, url, rel ('next' or 'prev'), target: both references in one pass, so that each check is one join."""
-    p = with_document(pages.where(is_html()))
+    p = _facts(pages).where(is_html())
     refs = F.array(F.struct(F.lit("next").alias("rel"), F.col("rel_next").alias("target")), F.struct(F.lit("prev").alias("rel"), F.col("rel_prev").alias("target")))
     return p.select("crawl_id", F.col("id").alias("url_id"), "url", F.explode(refs).alias("r")).select("crawl_id", "url_id", "url", "r.rel", "r.target").where(_filled(F.col("target")))
 
@@ -201,17 +249,30 @@ def _refs(pages: DataFrame, refs: DataFrame | None) -> DataFrame:
 
 
 def all_issues(pages: DataFrame, links: DataFrame, extended: bool = False) -> DataFrame:
-    """Every issue with its severity and category: crawl_id, url_id, issue_type, severity, category."""
-    refs = staged(pagination_refs(pages), "pagination-refs")  # parsed once for four checks
-    parts = [page_issues(pages), duplicate_values(pages), broken_links(pages, links), canonical_targets(pages)]
-    parts += [pagination_not_200(pages, refs), pagination_unlinked(pages, links, refs), pagination_not_in_anchor(pages, links, refs), pagination_sequence(pages, refs)]
+    """Every issue with its severity, category and details: crawl_id, url_id, issue_type, severity, category, details.
+
+    The pages' JSON is parsed once, into a stored table that all rules read.
+    """
+    facts = staged(page_facts(pages), "page-facts")
+    refs = pagination_refs(facts)
+    cut_to = lambda name: F.substring(name, 1, 200)
+    attribute = F.concat(F.lit("rel_"), "rel")
+    parts = [
+        (duplicate_values(facts), details(duplicate_count=F.col("copies"))),
+        (broken_links(facts, links), details(anchor_text=F.substring("anchor_text", 1, 100), status_code=F.col("status_code"), target_url=cut_to("target_url"))),
+        (canonical_targets(facts), details(canonical_url=cut_to("canonical_url"), reason=F.lit("target_non_indexable"))),
+        (pagination_not_200(facts, refs), details(attribute=attribute, pagination_url=cut_to("target"), status_code=F.col("status_code"))),
+        (pagination_unlinked(facts, links, refs), details(attribute=attribute, pagination_url=cut_to("target"))),
+        (pagination_not_in_anchor(facts, links, refs), details(attribute=attribute, pagination_url=cut_to("target"))),
+        (pagination_sequence(facts, refs), details(actual_back_ref=cut_to("back"), direction=F.col("rel"), expected_target=cut_to("target"))),
+    ]
     if extended:
-        parts.append(indexability_issues(pages))
-    issues = parts[0]
-    for one in parts[1:]:
-        issues = issues.unionByName(one.select("crawl_id", "url_id", "issue_type"))
+        parts.append((indexability_issues(facts), _no_details()))
+    issues = page_issues(facts)
+    for one, more in parts:
+        issues = issues.unionByName(one.select("crawl_id", "url_id", "issue_type", more.alias("details")))
     known = registry(pages.sparkSession).drop("description")
-    return issues.join(F.broadcast(known), "issue_type").select("crawl_id", "url_id", "issue_type", "severity", "category")
+    return issues.join(F.broadcast(known), "issue_type").select("crawl_id", "url_id", "issue_type", "severity", "category", "details")
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
@@ -222,18 +283,16 @@ def issue_summary(issues: DataFrame) -> DataFrame:
 
 
 def issue_list(issues: DataFrame, pages: DataFrame, severity: str | None = None, category: str | None = None, issue_type: str | None = None) -> DataFrame:
-    """Issues with their page's address, filtered."""
+    """Issues with their page's address and their type's description, filtered."""
     for name, value in (("severity", severity), ("category", category), ("issue_type", issue_type)):
         if value is not None:
             issues = issues.where(F.col(name) == value)
-    return issues.join(pages.select(F.col("id").alias("url_id"), "url").dropDuplicates(["url_id"]), "url_id")
+    described = issues.join(F.broadcast(registry(pages.sparkSession).select("issue_type", "description")), "issue_type")
+    return described.join(pages.select(F.col("id").alias("url_id"), "url").dropDuplicates(["url_id"]), "url_id")
 
 
 def heading_skips(pages: DataFrame) -> DataFrame:
-    """Per page with a skipped level: crawl_id, id, skips as texts like 'h2 -> h4', each against the last heading."""
-    p = with_document(pages.where(is_html()))
-    pairs = F.expr("transform(sequence(1, size(levels) - 1), i -> struct(levels[i - 1] as a, levels[i] as b))")
-    jumps = F.filter(pairs, lambda x: F.substring(x["b"], 2, 1).cast("int") - F.substring(x["a"], 2, 1).cast("int") > 1)
-    return p.where(F.size("levels") > 1).select("crawl_id", "id", F.transform(jumps, lambda x: F.concat(x["a"], F.lit(" -> "), x["b"])).alias("skips")).where(F.size("skips") > 0)
-
-
+    """Per HTML page that answered 2xx and skips a level: crawl_id, id, skips as texts like 'h2 -> h4', each against the last heading that is one of h1 to h9."""
+    p = with_document(pages.where(is_html() & ok()))
+    jumps = heading_jumps(F.filter("levels", lambda x: x.rlike("^h[1-9]$")))
+    return p.select("crawl_id", "id", F.transform(jumps, jump_text).alias("skips")).where(F.size("skips") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.plans.audit import _PATH, _PIXELS, _QUERY, pages
+from pagequarry.plans.audit import _PATH, _PIXELS, _QUERY, once, pages
 from pagequarry.sources import html, readers, sinks
 from pagequarry.streaming import events as streams
 from pagequarry.session import table
@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 def add(name: str, f, sql: str | None = None) -> None:
     QUERIES[name] = f
     if sql:
-        SQL[name] = sql
+        SQL[name] = once(sql)
 
 
 def _rows(rows: list[tuple], names: str) -> str:

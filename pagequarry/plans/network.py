@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagequarry.operators import compare, duplicates, filters, hierarchy, links, reports, rules
-from pagequarry.plans.audit import DOC, ISSUES, pages
+from pagequarry.plans.audit import DOC, ISSUES, once, pages
 from pagequarry.plans.audit import links as link_table
+from pagequarry.plans.cases import with_cases, with_links, with_pages
 from pagequarry.plans.reports import _HEALTH, issues, top
 from pagequarry.session import staged, table
 
@@ -14,10 +15,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def add(name: str, f, sql: str | None = None) -> None:
+def add(name: str, f, sql: str | None = None, cases: bool = False) -> None:
     QUERIES[name] = f
     if sql:
-        SQL[name] = sql
+        SQL[name] = with_cases(once(sql)) if cases else once(sql)
 
 
 def on_links(name: str, f, sql: str | None = None, *args, **kwargs) -> None:
@@ -35,7 +36,7 @@ _NOFOLLOW = "coalesce(list_contains(rel_attrs, 'nofollow'), false)"
 on_links("external_links", links.external_links, f"SELECT l.crawl_id, l.id, target_url, u.url AS source_url, anchor_text, {_NOFOLLOW} AS nofollow FROM page_links l {_SOURCE} WHERE link_type = 'external'")
 on_links("external_followed", links.external_links, f"SELECT l.crawl_id, l.id, target_url, u.url AS source_url, anchor_text, false AS nofollow FROM page_links l {_SOURCE} WHERE link_type = 'external' AND NOT {_NOFOLLOW}", nofollow=False)
 add("outlink_counts", lambda spark, d: links.outlink_counts(link_table(spark, d)), "SELECT crawl_id, source_url_id, count(*) FILTER (link_type = 'internal') AS internal, count(*) FILTER (link_type <> 'internal') AS other FROM page_links GROUP BY 1, 2")
-on_links("uncrawled", links.uncrawled, "SELECT DISTINCT crawl_id, target_url FROM page_links l WHERE link_type = 'internal' AND NOT EXISTS (SELECT 1 FROM crawled_urls u WHERE u.crawl_id = l.crawl_id AND u.url_hash = l.target_url_hash)")
+add("uncrawled", lambda spark, d: links.uncrawled(with_pages(pages(spark, d)), with_links(link_table(spark, d))), "SELECT DISTINCT crawl_id, target_url FROM page_links l WHERE link_type = 'internal' AND NOT EXISTS (SELECT 1 FROM crawled_urls u WHERE u.crawl_id = l.crawl_id AND u.url_hash = l.target_url_hash)", cases=True)
 _EDGES = f"edges AS (SELECT l.crawl_id, l.source_url_id AS source, t.id AS target, {_NOFOLLOW} AS nofollow FROM page_links l JOIN crawled_urls t ON t.crawl_id = l.crawl_id AND t.url_hash = l.target_url_hash WHERE link_type = 'internal')"
 _NODES = f"""{_EDGES}, n AS (SELECT crawl_id, target AS id, count(DISTINCT source) AS sources FROM edges GROUP BY 1, 2), p AS (SELECT DISTINCT crawl_id, id, url FROM crawled_urls),
 q AS (SELECT crawl_id, id, url, coalesce(sources, 0) AS sources FROM p LEFT JOIN n USING (crawl_id, id)), nodes AS ({top("*", "q", "sources DESC, id", 200)})"""
@@ -77,9 +78,9 @@ SELECT crawl_id, id, CAST(depth AS INTEGER) AS depth FROM b""",
 
 def pagination_loops(spark, d):
     """First pages whose next pages lead into a loop."""
-    refs = staged(rules.pagination_refs(pages(spark, d)), "pagination")
+    refs = staged(rules.pagination_refs(with_pages(pages(spark, d))), "pagination")
     first = refs.where("rel = 'next'").join(refs.where("rel = 'prev'").select("url_id"), "url_id", "left_anti")
-    walks = hierarchy.resolve(refs.where("rel = 'next'"), "crawl_id", "url", "target", with_path=False).nodes
+    walks = hierarchy.resolve(refs.where("rel = 'next'"), "crawl_id", "url", "target").nodes
     looped = walks.where(F.col("depth") < 0).select(F.col("scope").alias("crawl_id"), F.col("node").alias("url"))
     return first.join(looped, ["crawl_id", "url"]).select("crawl_id", "url_id", "url", F.lit("pagination_loop").alias("issue_type"))
 
@@ -91,6 +92,7 @@ add(
 e AS (SELECT crawl_id, url, min(n) AS n FROM f WHERE coalesce(n, '') <> '' GROUP BY 1, 2), st AS (SELECT * FROM f WHERE coalesce(n, '') <> '' AND coalesce(p, '') = ''),
 walk(crawl_id, url, here, hops) AS (SELECT crawl_id, url, url, 0 FROM st UNION SELECT w.crawl_id, w.url, e.n, w.hops + 1 FROM walk w JOIN e ON e.crawl_id = w.crawl_id AND e.url = w.here WHERE w.hops < 500)
 SELECT st.crawl_id, st.url_id, st.url, 'pagination_loop' AS issue_type FROM st WHERE EXISTS (SELECT 1 FROM walk w WHERE w.crawl_id = st.crawl_id AND w.url = st.url AND w.hops = 500)""",
+    cases=True,
 )
 _PAIRS = """done AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS r FROM (SELECT DISTINCT project_id, id, completed_at FROM crawls WHERE status = 'completed')),
 pairs AS (SELECT project_id, max(id) FILTER (r = 2) AS a, max(id) FILTER (r = 1) AS b FROM done WHERE r <= 2 GROUP BY 1)"""
@@ -145,6 +147,7 @@ add("list_custom_extractions", lambda spark, d: filters.with_custom_extractions(
 for _kind, _test in (("contains", "n <> '' OR p <> ''"), ("first_page", "n <> '' AND p = ''"), ("paginated_2_plus", "p <> ''")):
     add(
         f"pagination_{_kind}",
-        lambda spark, d, kind=_kind: filters.pagination_pages(pages(spark, d), kind).select("id"),
+        lambda spark, d, kind=_kind: filters.pagination_pages(with_pages(pages(spark, d)), kind).select("id"),
         f"WITH {DOC}, f AS (SELECT id, coalesce(doc->>'$.pagination.rel_next', '') AS n, coalesce(doc->>'$.pagination.rel_prev', '') AS p FROM s) SELECT id FROM f WHERE {_test}",
+        cases=True,
     )
