@@ -22,12 +22,14 @@ PIXELS = [
 OTHER_PIXELS = 7.0
 
 #: Words that are no keywords.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will "
-    "would could should may might shall can need it its this that these those i you he she we they me him her us them my your his "
-    "our their not no all each every both few more most some any other such than too very just about up out how what which who when "
-    "where why so if then also s t"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was",
+    "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall",
+    "can", "need", "it", "its", "this", "that", "these", "those", "i", "you", "he", "she", "we", "they", "me", "him", "her", "us",
+    "them", "my", "your", "his", "our", "their", "not", "no", "all", "each", "every", "both", "few", "more", "most", "some", "any", "other",
+    "such", "than", "too", "very", "just", "about", "up", "out", "how", "what", "which", "who", "when", "where", "why", "so", "if", "then",
+    "also", "s", "t",
+]
 
 
 def collapsed(text: Column) -> Column:

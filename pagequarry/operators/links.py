@@ -53,6 +53,22 @@ def external_links(pages: DataFrame, links: DataFrame, nofollow: bool | None = N
     return e.join(source, ["crawl_id", "source_url_id"]).select("crawl_id", C("id"), "target_url", "source_url", "anchor_text", has.alias("nofollow"))
 
 
+def outlinks(links: DataFrame, k: int | None = 100) -> DataFrame:
+    """The first ``k`` links of each page, all where ``k`` is None; a filter on one page reaches the scan."""
+    shown = links.select("crawl_id", "source_url_id", "id", "target_url", "anchor_text", "link_type", F.coalesce("rel_attrs", F.array().cast("array<string>")).alias("rel_attrs"), "link_position", "is_javascript")
+    return shown if k is None else top_per(shown, ["crawl_id", "source_url_id"], [C("id")], k)
+
+
+def links_analysis(pages: DataFrame, links: DataFrame, k: int = 50) -> DataFrame:
+    """crawl_id, part ('inlinks', 'orphans', 'depth', 'anchors'), name, n: the k pages with most inlinks, the first k orphans, pages by depth and the k commonest anchor texts of each crawl."""
+    most = top_per(inlink_counts(pages, links).where("inlinks > 0"), ["crawl_id"], [C("inlinks").desc(), C("id")], k)
+    alone = top_per(orphans(pages, links), ["crawl_id"], [C("url"), C("id")], k)
+    depth = pages.groupBy("crawl_id", "crawl_depth").agg(F.count("*").alias("n"))
+    rows = lambda df, part, name, n: df.select("crawl_id", F.lit(part).alias("part"), C(name).cast("string").alias("name"), n.cast("bigint").alias("n"))
+    parts = [rows(most, "inlinks", "id", C("inlinks")), rows(alone, "orphans", "id", F.lit(0)), rows(depth, "depth", "crawl_depth", C("n")), rows(anchor_texts(links, k), "anchors", "anchor_text", C("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def outlink_counts(links: DataFrame) -> DataFrame:
     internal = C("link_type") == "internal"
     return links.groupBy("crawl_id", "source_url_id").agg(F.count_if(internal).alias("internal"), F.count_if(~internal).alias("other"))

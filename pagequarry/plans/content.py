@@ -117,7 +117,19 @@ add(
     """WITH h AS (SELECT crawl_id, id AS page_id, url, redirect_chain AS c, unnest(range(1, len(redirect_chain) + 1)) AS i FROM crawled_urls)
 SELECT crawl_id, page_id, c[i].url AS source_url, coalesce(c[i + 1].url, url) AS target_url, c[i].status_code AS status_code, CAST(i AS INTEGER) AS hop_number FROM h""",
 )
-add("crawl_presets", lambda spark, d: readers.presets(spark), _rows([(n, *v) for n, v in readers.PRESETS.items()], "name, max_urls, max_depth, threads, rate, obey_robots"))
+add("crawl_presets", lambda spark, d: readers.presets(spark), _rows(readers.PRESETS, ", ".join(c.split()[0] for c in readers.PRESET_FIELDS.split(", "))))
+_RESPONSES = [("a", {"Strict-Transport-Security": "max-age=1", "X-Robots-Tag": "noindex"}), ("b", {"x-frame-options": "DENY", "X-FRAME-OPTIONS": "SAMEORIGIN"}), ("c", {}), ("d", None)]
+add(
+    "response_headers",
+    lambda spark, d: spark.createDataFrame(_RESPONSES, "id string, headers map<string,string>").select("id", readers.security_headers(F.col("headers")).alias("h")).select("id", "h.*"),
+    _rows([("a", "max-age=1", None, None, None, None, "noindex"), ("b", None, None, "SAMEORIGIN", None, None, None), ("c", *[None] * 6), ("d", *[None] * 6)], "id, strict_transport_security, content_security_policy, x_frame_options, x_content_type_options, referrer_policy, x_robots_tag"),
+)
+_BODIES = [("header", "text/html; charset=ISO-8859-1", "caf\u00e9".encode("latin-1")), ("meta", "text/html", b"<meta charset='windows-1251'>" + "\u0434\u0430".encode("cp1251")), ("http-equiv", None, b'<meta http-equiv="Content-Type" content="text/html; charset=shift_jis">' + "\u65e5".encode("shift_jis")), ("none", None, "\u00e9".encode()), ("wrong", "text/html; charset=nonsense", "\u00e9".encode()), ("null", None, None)]
+add(
+    "decoded_bodies",
+    lambda spark, d: spark.createDataFrame(_BODIES, "id string, content_type string, body binary").select("id", F.regexp_replace(html.decoded("body", "content_type"), "<[^>]*>", "").alias("text")),
+    _rows([("header", "caf\u00e9"), ("meta", "\u0434\u0430"), ("http-equiv", "\u65e5"), ("none", "\u00e9"), ("wrong", "\u00e9"), ("null", None)], "id, text"),
+)
 _ROBOTS = [("a.example", "User-agent: *\nDisallow: /p/ # private\nCrawl-delay: 2\n\nUser-agent: bot\nAllow: /\nSitemap: https://a.example/s.xml"), ("b.example", "")]
 add(
     "robots_directives",
@@ -160,7 +172,8 @@ SELECT b.url, CASE WHEN a.url IS NULL THEN 'crawl' ELSE 'both' END AS place FROM
 
 def _stream(spark, d):
     schema = table(spark, d, "events").schema
-    return streams.read_events(spark, f"{d}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern, as the table may be one file.withColumn("ts", F.col("ts").cast("timestamp"))
+    # The path is a pattern, as a stream reads folders and the table may be one file.
+    return streams.read_events(spark, f"{d}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _kept(spark, stream, mode: str):

@@ -35,6 +35,19 @@ add("anchor_texts", lambda spark, d: links.anchor_texts(link_table(spark, d)), "
 _NOFOLLOW = "coalesce(list_contains(rel_attrs, 'nofollow'), false)"
 on_links("external_links", links.external_links, f"SELECT l.crawl_id, l.id, target_url, u.url AS source_url, anchor_text, {_NOFOLLOW} AS nofollow FROM page_links l {_SOURCE} WHERE link_type = 'external'")
 on_links("external_followed", links.external_links, f"SELECT l.crawl_id, l.id, target_url, u.url AS source_url, anchor_text, false AS nofollow FROM page_links l {_SOURCE} WHERE link_type = 'external' AND NOT {_NOFOLLOW}", nofollow=False)
+add(
+    "outlinks",
+    lambda spark, d: links.outlinks(link_table(spark, d)).withColumn("rel_attrs", F.array_join("rel_attrs", " ")),
+    top("crawl_id, source_url_id, id, target_url, anchor_text, link_type, array_to_string(coalesce(rel_attrs, []), ' ') AS rel_attrs, link_position, is_javascript", "page_links", "id", 100, "crawl_id, source_url_id"),
+)
+on_links(
+    "links_analysis",
+    links.links_analysis,
+    f"""WITH n AS (SELECT crawl_id, target_url_hash AS url_hash, count(*) AS n FROM page_links WHERE link_type = 'internal' GROUP BY 1, 2), i AS (SELECT u.crawl_id, id, n FROM crawled_urls u JOIN n USING (crawl_id, url_hash)), o AS ({_ORPHAN} AND l.source_url_id <> u.id)),
+a AS (SELECT crawl_id, anchor_text, count(*) AS n FROM page_links WHERE link_type = 'internal' AND anchor_text <> '' GROUP BY 1, 2)
+SELECT crawl_id, 'inlinks' AS part, id AS name, n FROM ({top("*", "i", "n DESC, id", 50)}) UNION ALL SELECT crawl_id, 'orphans', id, 0 FROM ({top("*", "o", "url, id", 50)})
+UNION ALL SELECT crawl_id, 'depth', CAST(crawl_depth AS VARCHAR), count(*) FROM crawled_urls GROUP BY ALL UNION ALL SELECT crawl_id, 'anchors', anchor_text, n FROM ({top("*", "a", "n DESC, anchor_text", 50)})""",
+)
 add("outlink_counts", lambda spark, d: links.outlink_counts(link_table(spark, d)), "SELECT crawl_id, source_url_id, count(*) FILTER (link_type = 'internal') AS internal, count(*) FILTER (link_type <> 'internal') AS other FROM page_links GROUP BY 1, 2")
 add("uncrawled", lambda spark, d: links.uncrawled(with_pages(pages(spark, d)), with_links(link_table(spark, d))), "SELECT DISTINCT crawl_id, target_url FROM page_links l WHERE link_type = 'internal' AND NOT EXISTS (SELECT 1 FROM crawled_urls u WHERE u.crawl_id = l.crawl_id AND u.url_hash = l.target_url_hash)", cases=True)
 _EDGES = f"edges AS (SELECT l.crawl_id, l.source_url_id AS source, t.id AS target, {_NOFOLLOW} AS nofollow FROM page_links l JOIN crawled_urls t ON t.crawl_id = l.crawl_id AND t.url_hash = l.target_url_hash WHERE link_type = 'internal')"

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions.text import OTHER_PIXELS, PIXELS, _simhash
 from pagequarry.functions.urls import normalise
@@ -100,6 +101,36 @@ def link_type(url: str, base_host: str, cdn_hosts: tuple[str, ...] = ()) -> str:
     return "internal" if host == base_host or host.endswith("." + base_host) or host in cdn_hosts else "external"
 
 
+_META_CHARSET = re.compile(r"""<meta\s+charset=["']?([^"'>\s]+)""", re.I)
+_META_CONTENT = re.compile(r"""<meta[^>]+content=["'][^"']*charset=([^"';\s]+)""", re.I)
+
+
+def charset_of(body: bytes, content_type: str | None) -> str:
+    """The encoding that the header names, else a meta tag in the first 4096 bytes, else UTF-8."""
+    for part in (content_type or "").split(";"):
+        name, _, value = part.strip().lower().partition("=")
+        if name == "charset" and value.strip(" \"'"):
+            return value.strip(" \"'")
+    head = body[:4096].decode("ascii", errors="ignore")
+    found = _META_CHARSET.search(head) or _META_CONTENT.search(head)
+    return found.group(1) if found else "utf-8"
+
+
+def decode_body(body: bytes | None, content_type: str | None = None) -> str | None:
+    """A page's bytes as text; what can't be decoded becomes U+FFFD, an unknown encoding counts as UTF-8."""
+    if body is None:
+        return None
+    try:
+        return bytes(body).decode(charset_of(bytes(body), content_type), errors="replace")
+    except LookupError:
+        return bytes(body).decode("utf-8", errors="replace")
+
+
+@F.pandas_udf(T.StringType())
+def decoded(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
+    return pd.Series([decode_body(b, t if isinstance(t, str) else None) for b, t in zip(bodies, content_types, strict=True)], dtype=object)
+
+
 def is_html_body(content_type: str | None, html: str | None, most: int = 10 * 2**20) -> bool:
     media = (content_type or "text/html").split(";")[0].strip().lower()
     return media in ("text/html", "application/xhtml+xml") and bool(html) and len(html) <= most
@@ -350,6 +381,8 @@ def custom_extractions(pages: DataFrame, extractors: list[dict], url: str = "url
 
 def custom_searches(pages: DataFrame, text: str, searches: list[dict], keep: list[str]) -> DataFrame:
     """keep, search_id, found, triggered: occurrences of each pattern (id, pattern, is_regex, case_sensitive, contains), counted without Python."""
+    if any(not s["pattern"] for s in searches):
+        raise ValueError("a search needs a pattern")
     rows = []
     for s in searches:
         body = F.coalesce(F.col(text), F.lit(""))

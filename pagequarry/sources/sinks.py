@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pagequarry.functions.common import is_html
 
 #: The exported columns in order.
-EXPORT_COLUMNS = (
-    "url status_code content_type title title_length title_pixel_width meta_description meta_desc_length h1 h2 canonical_url robots_meta is_indexable indexability_reason "
-    "word_count crawl_depth response_time_ms redirect_url link_score text_ratio readability_score avg_words_per_sentence"
-).split()
+EXPORT_COLUMNS = [
+    "url", "status_code", "content_type", "title", "title_length", "title_pixel_width", "meta_description", "meta_desc_length",
+    "h1", "h2", "canonical_url", "robots_meta", "is_indexable", "indexability_reason", "word_count", "crawl_depth",
+    "response_time_ms", "redirect_url", "link_score", "text_ratio", "readability_score", "avg_words_per_sentence",
+]
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by crawl, so that a crawl's rows are one folder: pruned on read, dropped as a whole."""
-    df.repartition("crawl_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
+    """Parquet by crawl, so that a crawl's rows are one folder: pruned on read, dropped as a whole. A large crawl is split over several tasks."""
+    df.hint("rebalance", "crawl_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
 
 
 def drop_crawls(spark, path: str, crawl_ids: list[str]) -> None:
@@ -65,11 +66,11 @@ def write_sitemap(pages: DataFrame, path: str) -> None:
     sitemap_rows(pages).drop("crawl_id").write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
 
 
-def html_report(title: str, sections: dict[str, DataFrame], most_rows: int = 100) -> str:
-    """A page with one table for each report; reports are aggregates, and of longer ones the first rows are shown."""
+def html_report(title: str, sections: dict[str, DataFrame], most_rows: int | None = 100) -> str:
+    """A page with one table for each report; reports are aggregates, and of longer ones the first rows are shown, or all where ``most_rows`` is None."""
     parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
     for name, df in sections.items():
-        rows = df.limit(most_rows).collect()
+        rows = (df if most_rows is None else df.limit(most_rows)).collect()
         head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
         parts.append(f"<h2>{escape(name)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>")

@@ -65,7 +65,7 @@ def pages(spark, rows):
 def test_cross_page_rules(spark):
     page = lambda i, nxt=None, prev=None, **kw: {"id": i, "url": i, "url_hash": i.encode(), "seo_data": json.dumps({"pagination": {"rel_next": nxt, "rel_prev": prev}})} | kw
     p = pages(spark, [page("a", "b", title="same"), page("b", "c", "x", title="same", status_code=404), page("c", None, "b", is_indexable=False, canonical_url="a"), page("d", canonical_url="c", title=None)])
-    links = spark.createDataFrame([("c", "a", "b", b"b", "internal"), ("c", "a", "c", b"c", "internal"), ("c", "a", "b", b"b", "external")], "crawl_id string, source_url_id string, target_url string, target_url_hash binary, link_type string")
+    links = spark.createDataFrame([("c", "a", "b", b"b", "internal", "t"), ("c", "a", "c", b"c", "internal", None), ("c", "a", "b", b"b", "external", "")], "crawl_id string, source_url_id string, target_url string, target_url_hash binary, link_type string, anchor_text string")
     types = lambda df: sorted((r.url_id, r.issue_type) for r in df.collect())
     assert [(r.url_id, r.copies) for r in rules.duplicate_values(p).where("issue_type = 'duplicate_title'").orderBy("url_id").collect()] == [("a", 2), ("b", 2)]
     assert types(rules.broken_links(p, links)) == [("a", "broken_link_4xx")]
@@ -76,6 +76,21 @@ def test_cross_page_rules(spark):
     assert sorted((r.url_id, r.target, r.back) for r in rules.pagination_sequence(p).collect()) == [("a", "b", "x")]
 
 
+def test_odd_heading_levels(spark):
+    assert issues(spark, seo={"heading_sequence": ["h1", "hx", "h3", None, "h6", 4]}) == []
+    assert issues(spark, seo={"heading_sequence": ["hx", "h1", "H3"]}) == ["non_sequential_headings"] and issues(spark, seo={"heading_sequence": "h1"}) == []
+    p = pages(spark, [{"id": "1", "seo_data": json.dumps({"heading_sequence": ["h2", "hx", "h5", "h0", "h9"]})}, {"id": "2", "status_code": 404, "seo_data": json.dumps({"heading_sequence": ["h2", "h5"]})}, {"id": "3"}])
+    assert [(r.id, r.skips) for r in rules.heading_skips(p).collect()] == [("1", ["h2 -> h5", "h5 -> h9"])]
+    assert reports.accessibility(p).first().skipped == 1
+
+
+def test_details(spark):
+    row = BASE | {"title": "T" * 70, "h1": ["a", "b"], "seo_data": json.dumps(HEADERS | {"images": [{"alt": ""}], "heading_sequence": ["h1", "h4"]})}
+    got = {r.issue_type: r.details for r in rules.page_issues(spark.createDataFrame([row], SCHEMA)).collect()}
+    assert got["title_too_long"] == {"length": "70", "title": "T" * 70} and got["multiple_h1"] == {"count": "2", "h1s": "a | b"}
+    assert got["missing_alt_text"] == {"src": ""} and got["non_sequential_headings"] == {"sequence": "h1, h4", "skip_at": "h1 -> h4"}
+
+
 def test_all_images_without_alt(spark):
     p = pages(spark, [{"id": i, "seo_data": json.dumps({"images": [{"src": f"{i}{n}"} for n in range(70)] + [{"src": "x", "alt": "a"}]})} for i in "ab"])
     got = sorted((r.id, r.place, r.src) for r in reports.images_without_alt(p, None).collect())

@@ -66,3 +66,32 @@ def test_sinks_round_trip(spark):
 def test_cookies():
     assert readers.parse_cookies(None, "a.example") == [] and readers.same_site(".example", "a.example") and not readers.same_site("ample", "a.example")
     assert readers.parse_cookies("k=v; SameSite=None; Secure; HttpOnly", "a.example")[0]["issues"] == ["samesite_none_or_missing"]
+
+
+def test_robots_of_hot_and_missing_hosts(spark):
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /p/\nCrawl-delay: 2"), ("b", "x" * 600_000), ("c", None), ("a", "User-agent: *\nDisallow: /p/\nCrawl-delay: 2")], "host string, text string")
+    asked = [(f"https://a/{'p' if i % 3 else 'q'}/{i}", "a", i) for i in range(300)] + [("https://b/p/1", "b", 1), ("https://c/p/1", "c", 2), ("https://d/p/1", "d", 3), (None, "a", 4), ("https://e", None, 5)]
+    got = readers.robots_allowed(spark.createDataFrame(asked, "u string, h string, _x int"), files, "u", "h").collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.allowed == (r.h != "a" or r.u is None or "/p/" not in r.u) and r.crawl_delay == (2.0 if r.h == "a" and r.u else None), r
+
+
+def test_sitemap_index(spark, tmp_path):
+    def save(name, body):
+        (tmp_path / name).write_text(body)
+        return str(tmp_path / name)
+
+    for i in range(12):
+        save(f"{i:02}.xml", f"<urlset><url><loc>https://a/{i}</loc></url></urlset>")
+    inner = "".join(f"<sitemap><loc>{i:02}.xml</loc></sitemap>" for i in range(12))
+    index = save("index.xml", f"<sitemapindex>{inner}<sitemap><loc>nowhere.xml</loc></sitemap></sitemapindex>")
+    stored = lambda loc: str(tmp_path / loc) if (tmp_path / loc).exists() else None
+    assert readers.sitemap_tree(spark, index, stored).count() == 10 and readers.sitemap_tree(spark, index, stored, children=None).count() == 12
+    outer = save("outer.xml", "<sitemapindex><sitemap><loc>index.xml</loc></sitemap></sitemapindex>")
+    assert readers.sitemap_tree(spark, outer, stored, depth=1).count() == 0 and readers.sitemap_tree(spark, outer, stored).count() == 10
+
+
+def test_search_without_pattern(spark):
+    with pytest.raises(ValueError, match="pattern"):
+        html.custom_searches(spark.createDataFrame([("x",)], "t string"), "t", [{"id": 1, "pattern": ""}], [])
