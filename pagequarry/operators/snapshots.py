@@ -1,19 +1,25 @@
 """What changed between consecutive full snapshots of a table.
 
-Keys get ordinals that stay the same from snapshot to snapshot.  Within a
-chunk of ordinals every snapshot is one compressed bitmap; AND-NOT of
-neighbours gives additions and removals, AND gives the common keys, whose
-values are compared in vectors aligned by ordinal.
+Keys get ordinals from a stored dictionary; they stay the same from snapshot to
+snapshot and from run to run.  Within a chunk of ordinals every snapshot is one
+compressed bitmap; AND-NOT of neighbours gives additions and removals, AND
+gives the common keys, whose values are compared in vectors aligned by ordinal.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 8192
+from pagequarry.session import staged, work_path
+
+CHUNK = 8192  # ordinals compared in one task
+SPAN = 32  # pairs of snapshots compared in one task
+_DEALERS = 1024
 _SPARSE = 4096
 
 
@@ -52,19 +58,41 @@ class Bitmap:
         return self._list(self._packed() & other._packed())
 
 
-def extend_ordinals(known: DataFrame | None, keys: DataFrame) -> DataFrame:
-    """The dictionary (series, chunk, key, ordinal) that also holds the keys of ``keys`` (series, chunk, key).
-
-    Known keys keep their ordinal; new ones follow after the highest of their chunk.
-    """
-    order = Window.partitionBy("series", "chunk").orderBy("key")
-    new = keys.select("series", "chunk", "key").distinct()
-    if known is None:
-        return new.withColumn("ordinal", F.row_number().over(order) - 1)
-    top = known.groupBy("series", "chunk").agg((F.max("ordinal") + 1).alias("next"))
-    new = new.join(known, ["series", "chunk", "key"], "left_anti").join(top, ["series", "chunk"], "left")
-    new = new.withColumn("ordinal", F.row_number().over(order) - 1 + F.coalesce("next", F.lit(0))).drop("next")
-    return known.select("series", "chunk", "key", "ordinal").unionByName(new)
+class Ordinals:
+    """The dictionary of keys, kept below ``path``: numbers from 0 for each series, never changed or given twice."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or work_path(spark, "ordinals")).rstrip("/")
+
+    def _parts(self) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part-*/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
+        return [str(f.getPath().getParent().toString()) for f in found] if found else []
+
+    def extend(self, keys: DataFrame) -> DataFrame:
+        """series, key, ordinal of all keys so far; those of ``keys`` (series, key) that are new are numbered and added.
+
+        New keys of a series are dealt to parts by their hash and numbered
+        part by part, so that a series with most keys is no single task.
+        """
+        parts = self._parts()
+        new = keys.select("series", "key").distinct()
+        schema = new.withColumn("ordinal", F.lit(0).cast("bigint")).schema
+        known = self.spark.read.schema(schema).parquet(*parts) if parts else None
+        if known is not None:
+            new = new.join(known, ["series", "key"], "left_anti")
+        dealt = new.withColumn("_dealer", F.pmod(F.xxhash64("key"), F.lit(_DEALERS)).cast("int"))
+        order = Window.partitionBy("series", "_dealer")
+        ranked = staged(dealt.withColumn("_rank", F.row_number().over(order.orderBy("key")) - 1), "ordinals-new")
+        counts = ranked.groupBy("series", "_dealer").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("series").orderBy("_dealer").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("series", "_dealer", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+        if known is not None:
+            top = known.groupBy("series").agg((F.max("ordinal") + 1).alias("_next"))
+            offsets = offsets.join(top, "series", "left").select("series", "_dealer", (F.col("_offset") + F.coalesce("_next", F.lit(0))).alias("_offset"))
+        at = f"{self.path}/part-{len(parts):06d}-{uuid.uuid4().hex}"
+        ranked.join(offsets, ["series", "_dealer"]).select("series", "key", (F.col("_offset") + F.col("_rank")).cast("bigint").alias("ordinal")).write.parquet(at)
+        return self.spark.read.schema(schema).parquet(*parts, at)
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,15 +101,14 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(null_a | null_b, null_a != null_b, a != b)
 
 
-def _compare(columns: list[str]):
+def _compare(columns: list[str], size: int, span: int):
     def chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        size = int(rows["ordinal"].max()) + 1
         keys = np.empty(size, dtype=object)
-        keys[rows["ordinal"].to_numpy()] = rows["key"].to_numpy(dtype=object)
-        last = int(rows["last"].iloc[0])
+        keys[rows["place"].to_numpy()] = rows["key"].to_numpy(dtype=object)
+        last, block = int(rows["last"].iloc[0]), int(rows["block"].iloc[0])
         parts = {}
         for seq, part in rows.groupby("seq", sort=False):
-            at = part["ordinal"].to_numpy()
+            at = part["place"].to_numpy()
             vectors = []
             for c in columns:
                 v = np.empty(size, dtype=object)
@@ -96,7 +123,7 @@ def _compare(columns: list[str]):
             found.append(ordinals)
             kinds.extend([kind] * ordinals.size)
 
-        for seq in sorted({s for k in parts for s in (k, k + 1) if 1 < s <= last}):
+        for seq in sorted({s for k in parts for s in (k, k + 1) if 1 < s <= last and (s - 2) // span == block}):
             (before, old), (after, new) = parts.get(seq - 1, none), parts.get(seq, none)
             emit(seq, after.and_not(before), "added")
             emit(seq, before.and_not(after), "removed")
@@ -125,40 +152,41 @@ def number_snapshots(snapshots: DataFrame, series: str, snapshot: str, taken_at:
     )
 
 
-def snapshot_changes(rows: DataFrame, snapshots: DataFrame, snapshot: str, key: str, columns: list[str], version: list[str], chunk: int = CHUNK, dictionary: DataFrame | None = None) -> DataFrame:
+def snapshot_changes(
+    rows: DataFrame, snapshots: DataFrame, snapshot: str, key: str, columns: list[str], version: list[str], ordinals: Ordinals | None = None, chunk: int = CHUNK, span: int = SPAN
+) -> DataFrame:
     """Keys added, removed or changed in each snapshot against the one before it in its series.
 
     rows: one per record, with ``snapshot``, ``key``, the compared ``columns``
     and ``version``, columns whose greatest values say which of several rows
     of one key in one snapshot counts.  snapshots: from ``number_snapshots``.
-    dictionary: ordinals of earlier runs (``extend_ordinals``); its keys keep
-    their chunk and ordinal however the series has grown, others are added
-    for this run.  Without one, ordinals are dealt here.
+    ordinals: the dictionary of earlier runs, which is extended by new keys;
+    without one a new dictionary is begun.
 
     Result: snapshot (the later one), key, change_type.  Values compare
     exactly, null equals null.  Rows with a null key or an unknown snapshot
-    are left out; a snapshot without rows has everything removed.  A series
-    is cut into chunks by its largest snapshot, so one series that holds most
-    rows is spread over many tasks.
+    are left out; a snapshot without rows has everything removed.  A task
+    holds ``chunk`` ordinals of ``span`` + 1 snapshots, however large a series
+    or its history is; a snapshot between two spans goes to both.
     """
+    dictionary = ordinals or Ordinals(rows.sparkSession)
     named = rows.select(
         F.col(snapshot).alias("snapshot"), F.col(key).alias("key"), F.struct(*version).alias("_version"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]).alias("_values")
     ).where(F.col("key").isNotNull())
-    sizes = named.groupBy("snapshot").count().join(snapshots, "snapshot").groupBy("series").agg(F.max("count").alias("_most"))
-    cut_into = snapshots.join(sizes, "series").select("series", "snapshot", "seq", "last", F.ceil(F.col("_most") / chunk).cast("int").alias("_chunks"))
+    # By series and key from here to the join with the dictionary: one shuffle for the versions and the join.
     latest = (
-        named.join(cut_into, "snapshot")
-        .groupBy("series", "seq", "last", "_chunks", "key")
+        named.join(snapshots, "snapshot")
+        .repartition("series", "key")
+        .groupBy("series", "key", "seq", "last")
         .agg(F.max_by("_values", "_version").alias("_values"))
-        .withColumn("chunk", F.expr("cast(pmod(xxhash64(key), _chunks) as int)"))
     )
-    if dictionary is None:
-        placed = latest.withColumn("ordinal", F.dense_rank().over(Window.partitionBy("series", "chunk").orderBy("key")) - 1)
-    else:
-        known = dictionary.select("series", "key", F.col("chunk").alias("_known"))
-        latest = latest.join(known, ["series", "key"], "left").withColumn("chunk", F.coalesce("_known", "chunk")).drop("_known")
-        placed = latest.join(extend_ordinals(dictionary, latest), ["series", "chunk", "key"])
+    keys = named.select("snapshot", "key").join(snapshots.select("snapshot", "series"), "snapshot")
+    placed = latest.join(dictionary.extend(keys), ["series", "key"])
     names = [f"v{i}" for i in range(len(columns))]
-    placed = placed.select("series", "chunk", "seq", "last", "key", "ordinal", *[F.col(f"_values.{n}").cast("string").alias(n) for n in names])
-    changes = placed.groupBy("series", "chunk").applyInPandas(_compare(names), f"series {dict(snapshots.dtypes)['series']}, seq int, key {dict(rows.dtypes)[key]}, change_type string")
+    pairs = [F.when(F.col("seq") > 1, F.floor((F.col("seq") - 2) / span)), F.when(F.col("seq") < F.col("last"), F.floor((F.col("seq") - 1) / span))]
+    placed = placed.select(
+        "series", F.floor(F.col("ordinal") / chunk).alias("chunk"), F.explode(F.array_distinct(F.array_compact(F.array(*pairs)))).alias("block"), "seq", "last", "key", F.pmod("ordinal", F.lit(chunk)).cast("int").alias("place"),
+        *[F.col(f"_values.{n}").cast("string").alias(n) for n in names],
+    )
+    changes = placed.groupBy("series", "chunk", "block").applyInPandas(_compare(names, chunk, span), f"series {dict(snapshots.dtypes)['series']}, seq int, key {dict(rows.dtypes)[key]}, change_type string")
     return changes.join(snapshots.select("series", "seq", "snapshot"), ["series", "seq"]).select("snapshot", "key", "change_type")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators.snapshots import Bitmap, extend_ordinals, number_snapshots, snapshot_changes
+from pagequarry.operators.snapshots import Bitmap, Ordinals, number_snapshots, snapshot_changes
 
 ROWS = "id string, snap string, k string, v int, t string, at int, seq string, chunk int"
 
@@ -35,24 +35,38 @@ def test_empty(spark):
     assert changes(spark, SNAPS, []) == [] and changes(spark, [], [("1", "s1", "a", 1, "x", 5)]) == []
 
 
-def test_dictionary_keeps_ordinals(spark):
-    keys = spark.createDataFrame([("p", 0, "b"), ("p", 0, "d")], "series string, chunk int, key string")
-    first = extend_ordinals(None, keys)
-    more = extend_ordinals(first, spark.createDataFrame([("p", 0, "a"), ("p", 0, "b"), ("q", 1, "z")], "series string, chunk int, key string"))
-    assert sorted(tuple(r) for r in more.select("series", "key", "ordinal").collect()) == [("p", "a", 2), ("p", "b", 0), ("p", "d", 1), ("q", "z", 0)]
-    rows = [("1", "s1", "a", 1, "x", 5), ("2", "s2", "b", 2, "x", 5)]
-    known = extend_ordinals(None, spark.createDataFrame([("p", 0, "a"), ("p", 0, "b")], "series string, chunk int, key string"))
-    assert changes(spark, SNAPS, rows, dictionary=known) == [("s2", "a", "removed"), ("s2", "b", "added"), ("s3", "b", "removed")]
+def numbers(df):
+    return {(r.series, r.key): r.ordinal for r in df.collect()}
 
 
-def test_dictionary_lacks_keys_and_series_grew(spark):
+def test_dictionary_outlasts_a_run_and_grows(spark, tmp_path):
+    keys = lambda *rows: spark.createDataFrame(list(rows), "series string, key string")
+    first = numbers(Ordinals(spark, str(tmp_path)).extend(keys(("p", "b"), ("p", "d"), ("p", "b"), ("q", "b"))))
+    assert sorted(v for (s, _), v in first.items() if s == "p") == [0, 1] and first["q", "b"] == 0
+    more = numbers(Ordinals(spark, str(tmp_path)).extend(keys(("p", "a"), ("p", "b"), ("r", "z"))))
+    assert more == first | {("p", "a"): 2, ("r", "z"): 0}
+    assert numbers(Ordinals(spark, str(tmp_path)).extend(keys(("p", "a")))) == more
+    many = numbers(Ordinals(spark, str(tmp_path)).extend(keys(*[("p", f"k{i}") for i in range(500)])))
+    assert sorted(v for (s, _), v in many.items() if s == "p") == list(range(503)) and many.items() >= more.items()
+
+
+def test_changes_with_a_dictionary_of_an_earlier_run(spark, tmp_path):
     keys = [f"k{i}" for i in range(12)]
     rows = [(k, "s1", k, 1, "x", 1) for k in keys[:8]] + [(k, "s2", k, 2 if k == "k5" else 1, "x", 1) for k in keys[2:]]
-    known = extend_ordinals(None, spark.createDataFrame([("p", 0, k) for k in keys[:4]], "series string, chunk int, key string"))
     expected = changes(spark, SNAPS, rows)
     assert len(expected) == 17 and ("s2", "k5", "changed") in expected
-    for chunk in (3, 8192):
-        assert changes(spark, SNAPS, rows, chunk=chunk, dictionary=known) == expected
+    assert changes(spark, SNAPS[:3], rows[:8], ordinals=Ordinals(spark, str(tmp_path))) == [("s2", k, "removed") for k in sorted(keys[:8])]
+    for chunk, span in ((3, 1), (8192, 2)):
+        assert changes(spark, SNAPS, rows, chunk=chunk, span=span, ordinals=Ordinals(spark, str(tmp_path))) == expected
+
+
+def test_many_snapshots_in_spans(spark):
+    snaps = [("p", f"s{i:02}", i) for i in range(11)]
+    rows = [(f"{i}{k}", f"s{i:02}", k, i // 3, "x", 1) for i in range(11) if i != 5 for k in ("a", "b" if i % 2 else "c")]
+    expected = changes(spark, snaps, rows, span=100)
+    assert len(expected) > 20
+    for span in (1, 3, 10):
+        assert changes(spark, snaps, rows, span=span) == expected
 
 
 def test_bitmaps_against_sets():
