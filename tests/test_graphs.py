@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import _simhash
 from pagequarry.operators import compare, duplicates, links
-from pagequarry.operators.duplicates import components, near_duplicates, near_pairs
+from pagequarry.operators.duplicates import components, near_classes, near_duplicates, near_pairs
 
 
 def slow_simhash(text):
@@ -100,3 +100,19 @@ def test_compare(spark):
 
 def test_fingerprints_need_words(spark):
     assert duplicates.fingerprints(spark.createDataFrame([(1, "a " * 49), (2, "a " * 50)], "i int, t string"), "i", "t").select(F.collect_list("id")).first()[0] == [2]
+
+
+def test_near_classes_equal_components_of_all_pairs(spark):
+    rng = random.Random(8)
+    values = [rng.getrandbits(63) for _ in range(40)]
+    for _ in range(400):  # chains and dense groups around them
+        v = rng.choice(values)
+        for bit in rng.sample(range(63), rng.randrange(1, 5)):
+            v ^= 1 << bit
+        values.append(v)
+    base = rng.getrandbits(63)
+    values += [base ^ x for x in range(200)] + values[:20]
+    df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    expected = {r.node: r.root for r in components(near_pairs(df), df.selectExpr("fingerprint as node").distinct()).collect()}
+    assert {r.node: r.root for r in near_classes(df).collect()} == expected
+    assert 40 < len(set(expected.values())) < len(set(values)) and near_classes(df.limit(0)).count() == 0
