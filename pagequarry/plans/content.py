@@ -188,4 +188,12 @@ def stream_windows(spark, d):
 add("stream_windows", stream_windows, "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 add("stream_counters", lambda spark, d: _kept(spark, streams.running_counters(_stream(spark, d)), "complete"), "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 add("stream_first", lambda spark, d: _kept(spark, streams.first_deliveries(_stream(spark, d)).select("event_id"), "append"), "SELECT DISTINCT event_id FROM events")
-add("stream_progress", lambda spark, d: _kept(spark, streams.throttled_progress(_stream(spark, d)), "append"))
+add(
+    "stream_progress",
+    lambda spark, d: _kept(spark, streams.throttled_progress(_stream(spark, d)), "append").withColumn("ts", F.unix_micros("ts")),
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS seen FROM events),
+w(user_id, seen, ts, told, since) AS (SELECT user_id, seen, ts, seen, ts FROM e WHERE seen = 1 UNION ALL
+  SELECT e.user_id, e.seen, e.ts, CASE WHEN e.seen - told >= {streams.EVERY} OR e.ts - since >= {int(streams.SECONDS * 1e6)} THEN e.seen ELSE told END, CASE WHEN e.seen - told >= {streams.EVERY} OR e.ts - since >= {int(streams.SECONDS * 1e6)} THEN e.ts ELSE since END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.seen = w.seen + 1)
+SELECT user_id, ts, seen FROM w WHERE told = seen""",
+)

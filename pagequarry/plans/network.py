@@ -140,7 +140,20 @@ add(
 facts AS (SELECT up.*, coalesce(ip.issues, 0) AS issues, coalesce(ip.critical, 0) AS critical, score FROM up LEFT JOIN ip USING (crawl_id) LEFT JOIN h USING (crawl_id)),
 k AS (SELECT project_id, pairs.b AS crawl_id, {_FACTS} FROM pairs JOIN facts x ON x.crawl_id = pairs.b LEFT JOIN facts y ON y.crawl_id = pairs.a) {_RULES}""",
 )
-add("near_duplicates", lambda spark, d: duplicates.near_duplicates(table(spark, d, "documents"), "doc_id", "text"))
+_BYTES = "list_transform(range(1, length(hex(encode(g))), 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(hex(encode(g)), i, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(g)), i + 1, 1)) - 1 AS UHUGEINT))"
+add(
+    "near_duplicates",
+    lambda spark, d: duplicates.near_duplicates(table(spark, d, "documents"), "doc_id", "text"),
+    f"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ') AS s FROM documents WHERE text IS NOT NULL), w AS (SELECT * FROM t WHERE len(list_filter(string_split(s, ' '), lambda x: x <> '')) >= 50),
+c AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, substr(s, k, 3) AS g FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS k FROM w)) GROUP BY 1, 2),
+h AS (SELECT g, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), {_BYTES}), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS h FROM (SELECT DISTINCT g FROM c)),
+v AS (SELECT doc_id, b, sum(CASE WHEN CAST(h // (CAST(2 AS UHUGEINT) ** b)::UHUGEINT % 2 AS INTEGER) = 1 THEN n ELSE -n END) AS v FROM c JOIN h USING (g), (SELECT unnest(range(64)) AS b) GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT doc_id, CAST(CAST(sum(CASE WHEN v > 0 THEN (CAST(1 AS HUGEINT) << CAST(b AS INTEGER)) ELSE 0 END) AS UBIGINT) AS HUGEINT) AS f FROM v GROUP BY 1 HAVING f <> 0), d AS MATERIALIZED (SELECT DISTINCT f FROM f),
+p AS MATERIALIZED (SELECT x.f AS a, y.f AS b FROM d x, d y WHERE x.f <> y.f AND bit_count(xor(x.f, y.f)) <= 3),
+l(f, root) USING KEY (f) AS (SELECT f, f FROM d UNION SELECT p.b, min(l.root) FROM l JOIN p ON p.a = l.f JOIN recurring.l r ON r.f = p.b WHERE l.root < r.root GROUP BY p.b),
+k AS (SELECT f.doc_id, l.root FROM f JOIN l USING (f))
+SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM k QUALIFY class_size > 1""",
+)
 add("list_html_errors", lambda spark, d: filters.list_pages(pages(spark, d), status_min=400, status_max=499, content_type="HTML").select("id", "url", "status_code"), "SELECT id, url, status_code FROM crawled_urls WHERE status_code BETWEEN 400 AND 499 AND contains(lower(content_type), 'html')")
 add(
     "list_other_types",
