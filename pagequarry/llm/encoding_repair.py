@@ -8,9 +8,11 @@ it is unless a chain makes it shorter.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -62,8 +64,6 @@ SAMPLE_TEXTS, DICTIONARY_BYTES, LEVEL = 4000, 32768, 12
 
 _LOST = "�"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
-_CYRILLIC = re.compile("[\u0400-\u04ff]")
-_SIGN_WITHIN = re.compile(r"[^\W\d_][„…•·«»‹›€£¥§©®°±²³¼½¾×÷№™¡¿][^\W\d_]")
 
 
 def _page(encoding: str) -> list[str]:
@@ -77,6 +77,11 @@ def _page(encoding: str) -> list[str]:
     return page
 
 
+def _bytes_of(page: list[str]):
+    """The byte of each character, for the library's encoder; of several the least."""
+    return codecs.charmap_build("".join(page)) if len(set(page)) == 256 else {ord(c): b for b, c in reversed(list(enumerate(page)))}
+
+
 class _Narrow:
     """Undoes UTF-8 read as an encoding of one byte a character, wherever the bytes are valid UTF-8."""
 
@@ -132,21 +137,34 @@ class _Stripped:
 
     def __init__(self, lone: dict[str, str], first: bool = False):
         self.name, self.first, self.lone = f"utf-8 as latin-1 without controls ({''.join(lone.values())})", first, set(lone)
-        rules = [
-            ("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?i:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnstLDCJMNST])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"),
-            (r"(?<!\w)â(?=\w)([^â]*)(?<=\w)â(?!\w)", r"“\1”"), *((f"{lead}(?![\u0080-\u00bf])", letter) for lead, letter in lone.items()),
-        ]
-        self.rules = [(re.compile(a), b) for a, b in rules]
+        self.letters = [(re.compile(f"{lead}(?![\u0080-\u00bf])"), letter) for lead, letter in lone.items()]
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
         return not chars.isdisjoint(self.lone) or (self.first and "â" in chars)
 
     def undo(self, text: str) -> str:
-        for find, sign in self.rules:
-            text = find.sub(sign, text)
+        text = _signs_without_controls(text)
+        for find, letter in self.letters:
+            text = find.sub(letter, text)
         return text
 
 
+_LEFT_OF_SIGNS = [
+    (re.compile(a), b)
+    for a, b in (
+        ("â¬", "€"), ("â¦", "…"), ("â¢", "•"), (r"(?<=\w)â(?=(?i:t|s|re|ve|ll|d|m)\b)", "’"), (r"(?<=\b[ldcjmnstLDCJMNST])â(?=\w)", "’"), (r"(?<!\S)â(?!\S)", "–"),
+        (r"(?<!\w)â(?=\w)([^â]*)(?<=\w)â(?!\w)", r"“\1”"),
+    )
+]
+
+
+@lru_cache(10_000)
+def _signs_without_controls(text: str) -> str:
+    for find, sign in _LEFT_OF_SIGNS:
+        text = find.sub(sign, text)
+    return text
+
+
 class _Swap:
     """Undoes one encoding of one byte a character read as another, over the whole text."""
 
@@ -156,14 +174,17 @@ class _Swap:
         self.name = f"{right} as {wrong}"
         good, bad = _page(right), _page(wrong)
         self.map = {bad[b]: good[b] for b in range(255, 127, -1)}
-        self.table = str.maketrans(self.map)
+        self.bytes, self.page = _bytes_of(bad), "".join(good)
+        self.same = {c for c, n in self.map.items() if c == n}
+        self.allowed: set[str] | None = None
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
-        new = [self.map.get(c) for c in chars]
-        return all(n in good for n in new) and any(n != c for n, c in zip(new, chars, strict=True))
+        if self.allowed is None:
+            self.allowed = {c for c, n in self.map.items() if n in good}
+        return chars <= self.allowed and not chars <= self.same
 
     def undo(self, text: str) -> str:
-        return text.translate(self.table)
+        return codecs.charmap_decode(codecs.charmap_encode(text, "strict", self.bytes)[0], "strict", self.page)[0]
 
 
 class _WideSwap:
@@ -173,15 +194,16 @@ class _WideSwap:
 
     def __init__(self, right: str, wrong: str):
         self.name, self.right = f"{right} as {wrong}", right
-        self.byte = {c: b for b, c in reversed(list(enumerate(_page(wrong))))}
+        page = _page(wrong)
+        self.chars, self.bytes = set(page), _bytes_of(page)
 
     def may(self, chars: frozenset[str], good: set[str]) -> bool:
-        return len(chars) > 1 and all(c in self.byte for c in chars)
+        return len(chars) > 1 and chars <= self.chars
 
     def undo(self, text: str) -> str:
         try:
-            return bytes(self.byte[c] for c in text).decode(self.right)
-        except (KeyError, UnicodeDecodeError):
+            return codecs.charmap_encode(text, "strict", self.bytes)[0].decode(self.right)
+        except UnicodeError:
             return text
 
 
@@ -248,10 +270,6 @@ class Repairer:
             steps = self.possible[chars] = [s for s in self.steps if s.may(chars, self.good)]
         return steps
 
-    def whole_swap(self, text: str) -> bool:
-        """Whether all of a text may be misread: no one language has its letters, a sign stands between letters, or it is Cyrillic, which every such reading leaves Cyrillic."""
-        return bool(_CYRILLIC.search(text) or _SIGN_WITHIN.search(text)) or not self.covered(text)
-
     def languages(self, text: str) -> set[str]:
         """Those whose letters cover most of the text's; all of them for a text without a letter beyond ASCII."""
         chars = self._chars(text)
@@ -267,7 +285,8 @@ class Repairer:
     def length(self, text: str, languages: set[str]) -> float:
         """Bytes of the text, without regard to case, with the best dictionary; a letter the language hasn't costs more."""
         data = text.lower().encode("utf-8", "surrogatepass")
-        return min(len(self.press.get(lang, self.plain).compress(data)) + STRANGE_COST * len(self.beyond[lang].findall(text)) for lang in languages)
+        rest = "".join(_NON_ASCII.findall(text))
+        return min([len(self.press.get(lang, self.plain).compress(data)) + STRANGE_COST * len(self.beyond[lang].findall(rest)) for lang in languages])
 
     def covered(self, text: str) -> bool:
         """Whether one language has all letters of the text."""
@@ -299,12 +318,11 @@ class Repairer:
         if text.isascii():
             return Verdict(text, "", 0, False)
         seen, level, found = {text}, [(text, "", 0.0, self.strange(text))], []
-        swap = self.whole_swap(text)
         for _ in range(self.most_steps):
             after = []
             for old, chain, cost, strange in level:
                 for step in self.applicable(old):
-                    if not step.local and (chain or not swap):
+                    if not step.local and chain:
                         continue
                     new = step.undo(old)
                     if new in seen:
@@ -336,25 +354,33 @@ def fit(texts: DataFrame, text: str, letters: dict[str, str] | None = None, samp
     letters cover it best.  Texts beyond 1000 characters are not sampled.
     """
     letters = letters or LETTERS
-    values = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & F.length("text").between(1, 1000)).distinct()
+    values = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & F.length("text").between(1, 1000))
     judge = Repairer(Model({}, letters))
-    pick = F.lit(None).cast("string")
+    tests = []
     for lang, own in letters.items():
         chars = "ぁ-ヿ" if lang == "ja" else "".join(sorted(set(own + own.upper())))
         rare = [c for c in own if sum(c in x for x in letters.values()) == 1]
         mark = "".join(sorted(set("".join(rare) + "".join(rare).upper()))) or chars
-        pick = F.when(F.col("text").rlike(f"[{mark}]"), F.lit(lang)).otherwise(pick)
-    pick = F.coalesce(pick, F.when(F.col("text").rlike("^[\\x00-\\x7f]*$"), F.lit("en")).otherwise(F.lit("other")))
-    named = values.select("text", pick.alias("lang"), F.xxhash64("text").alias("h")).cache()
-    counts = {row.lang: row["count"] for row in named.groupBy("lang").count().collect()}
-    below = F.lit(False)  # a share of each language's hashes that holds about a fifth more than is wanted
-    for lang, n in counts.items():
-        share = min(1.0, 1.2 * sample_texts / n)
-        below = below | ((F.col("lang") == lang) & (F.col("h") <= min(2**63 - 1, -(2**63) + int(share * 2**64))))
+        tests.append((lang, f"[{mark}]"))
+
+    def pick(rest):
+        chosen = F.when(rest == "", F.lit("en")).otherwise(F.lit("other"))
+        for lang, mark in tests:
+            chosen = F.when(rest.rlike(mark), F.lit(lang)).otherwise(chosen)
+        return chosen
+
+    # The letters beyond ASCII are taken out once; the tests see only these few.
+    tagged = F.transform(F.array(F.regexp_replace("text", "[\\x00-\\x7f]+", "")), pick)[0]
+    named = values.select("text", tagged.alias("lang"), F.xxhash64("text").alias("h"))
+    counts = {row.lang: row.n for row in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    bound = F.lit(2**63 - 1)  # a share of each language's hashes that holds about a fifth more than is wanted
+    shares = [x for lang, n in counts.items() if n > 2 * sample_texts for x in (F.lit(lang), F.lit(-(2**63) + int(1.2 * sample_texts / n * 2**64)))]
+    if shares:
+        bound = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang")), bound)
+    sampled = named.where(F.col("h") <= bound).distinct()
     chosen: dict[str, list] = {}
-    for row in sorted(named.where(below).collect(), key=lambda r: r.h):
+    for row in sorted(sampled.collect(), key=lambda r: (r.h, r.text)):
         chosen.setdefault(row.lang, []).append(row.text)
-    named.unpersist()
     samples: dict[str, list[bytes]] = {lang: [] for lang in letters}
     for lang in [*letters, "other"]:
         for text in chosen.get(lang, [])[:sample_texts]:

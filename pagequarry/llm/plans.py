@@ -154,4 +154,8 @@ SELECT item_id, count(*) AS documents, round(max(found / total), 6) AS most FROM
     "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300), g AS (SELECT DISTINCT doc_id, md5(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM d)),
 r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), m AS (SELECT doc_id, h FROM g JOIN r USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_shares": """WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, text FROM documents), g AS (SELECT doc_id, k, md5(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM d WHERE length(text) >= 300)),
+r AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)), m AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM g JOIN r USING (h)),
+c AS (SELECT doc_id, sum(least(coalesce(n - k, 300), 300)) AS shared FROM m GROUP BY 1)
+SELECT doc_id, length(text) AS chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN shared > 0 THEN round(shared / length(text), 6) ELSE 0.0 END AS share FROM d LEFT JOIN c USING (doc_id)""",
 }
