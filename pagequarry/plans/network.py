@@ -101,8 +101,8 @@ def pagination_loops(spark, d):
 add(
     "pagination_loops",
     pagination_loops,
-    f"""WITH RECURSIVE {DOC}, f AS (SELECT crawl_id, id AS url_id, url, doc->>'$.pagination.rel_next' AS n, doc->>'$.pagination.rel_prev' AS p FROM s WHERE html),
-e AS (SELECT crawl_id, url, min(n) AS n FROM f WHERE coalesce(n, '') <> '' GROUP BY 1, 2), st AS (SELECT * FROM f WHERE coalesce(n, '') <> '' AND coalesce(p, '') = ''),
+    f"""WITH RECURSIVE {DOC}, f AS MATERIALIZED (SELECT crawl_id, id AS url_id, url, doc->>'$.pagination.rel_next' AS n, doc->>'$.pagination.rel_prev' AS p FROM s WHERE html),
+e AS MATERIALIZED (SELECT crawl_id, url, min(n) AS n FROM f WHERE coalesce(n, '') <> '' GROUP BY 1, 2), st AS (SELECT * FROM f WHERE coalesce(n, '') <> '' AND coalesce(p, '') = ''),
 walk(crawl_id, url, here, hops) AS (SELECT crawl_id, url, url, 0 FROM st UNION SELECT w.crawl_id, w.url, e.n, w.hops + 1 FROM walk w JOIN e ON e.crawl_id = w.crawl_id AND e.url = w.here WHERE w.hops < 500)
 SELECT st.crawl_id, st.url_id, st.url, 'pagination_loop' AS issue_type FROM st WHERE EXISTS (SELECT 1 FROM walk w WHERE w.crawl_id = st.crawl_id AND w.url = st.url AND w.hops = 500)""",
     cases=True,
